@@ -3,17 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelspan.llm import near_dedup
-from panelspan.llm.common import table
+from panelspan.llm import decontaminate, near_dedup, quality_rules, toxicity
+from panelspan.llm.common import remainder, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = remainder("doc_id", 5) == 0
+    model = toxicity.toxicity_model(docs.filter(~held), labels.filter(~held))
+    scored = toxicity.toxicity(docs.withColumn("held_out", held), model, ("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_toxicity": op8_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": near_dedup.ORACLE,
+    "op3_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_quality_rules": quality_rules.ORACLE,
+}

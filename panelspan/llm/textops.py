@@ -94,22 +94,32 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans (sorted by start), piece by piece so that memory stays bounded."""
-    out = np.empty(len(start), U64)
+def spans_hashes(buf: np.ndarray, start: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of byte spans from start to each of ends (all sorted), piece by piece so that memory stays bounded."""
+    outs = [np.empty(len(start), U64) for _ in ends]
+    far = ends[0]
+    for e in ends[1:]:
+        far = np.maximum(far, e)
     i = 0
     while i < len(start):
         base = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, base + _PIECE, "right")))
-        top = int(end[i:j].max())
+        j = max(i + 1, int(np.searchsorted(far, base + _PIECE, "right")))
+        top = int(far[j - 1])
         pow_, inv = _powers(top - base)
         sums = np.empty(top - base + 1, U64)
         sums[0] = 0
         np.cumsum(_BYTE[buf[base:top]] * pow_[: top - base], out=sums[1:])
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(U64) * U64(0xA0761D6478BD642F))
+        s = start[i:j] - base
+        head, back = sums[s], inv[s]
+        for out, end in zip(outs, ends, strict=True):
+            e = end[i:j] - base
+            out[i:j] = mix((sums[e] - head) * back + (e - s).astype(U64) * U64(0xA0761D6478BD642F))
         i = j
-    return out
+    return outs
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return spans_hashes(buf, start, [end])[0]
 
 
 def words(buf: np.ndarray, offsets: np.ndarray, ends: np.ndarray = BLANKS, lower: bool = True) -> Words:
