@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
-from panelspan.llm.common import broadcast_value
+from panelspan.llm.common import broadcast_value, cut
 
 WINDOW, GRAM = 10, 5
 #: Benchmark characters in one broadcast index (some 60 MB of hashes).
@@ -237,8 +237,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window; columns unchanged, a null doc_id stays only if no null-id row is hit."""
-    bad = contamination(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    # stored, so that the planner knows its size and need not shuffle the texts if it is small
+    bad = cut(contamination(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
 
 
 ORACLE = r"""

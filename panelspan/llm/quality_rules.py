@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspan.llm.common import cut
+
 LINE_FLOOR, LINE_SHARE = 20, 0.02
 DEPLETED_PERCENT = 70
 
@@ -116,7 +118,7 @@ def good_documents(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE
     base = docs.withColumn("__h", host).withColumn("__k", F.xxhash64(text))
     base = base.withColumn("__s", _let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r"))))
     base = base.filter("__s.n >= 50 AND __s.r * 100 <= __s.n * 50").drop("__s")
-    bad = depleted_texts(docs, floor, share, percent).select(F.col("host").alias("__bh"), F.col("text_key").alias("__bk"))
+    bad = cut(depleted_texts(docs, floor, share, percent).select(F.col("host").alias("__bh"), F.col("text_key").alias("__bk")), "depleted")
     return base.join(bad, (F.col("__h") == F.col("__bh")) & (F.col("__k") == F.col("__bk")), "left_anti").drop("__h", "__k")
 
 
