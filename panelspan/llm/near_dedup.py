@@ -6,9 +6,10 @@ a parity bitmap, so that the population count of the XOR of two sketches estimat
 how many samples differ. Documents with equal shingle sets collapse to one
 representative before anything is paired. Each band bucket links its members to its
 smallest one (never all pairs), the sketches discard dissimilar candidates, and what
-is left is confirmed on the full shingle sets. Buckets whose members then still lie
-in different components are compared across components, by sketch inside the join,
-so that no link is lost to the choice of the smallest member.
+is left is confirmed on the full shingle sets. Of buckets whose members then still lie
+in different components, the members with a close sketch in another component are
+compared across components, block by block on full sets, so that no link is lost to
+the choice of the smallest member; only links that join components are emitted.
 
 Defined results: a null or empty text has no shingles and links to nothing; equal
 rows are one vertex; a doc_id that repeats with different texts is one vertex too; a
@@ -34,6 +35,8 @@ SKETCH_BITS = 1024
 #: at 150 samples that is over five standard deviations.
 SLACK = 0.2
 THRESHOLD = (80, 100)
+#: Bounds of a block of a bucket's members.
+BLOCK_ROWS, BLOCK_CHARS = 1024, 8_000_000
 
 _SIGNED = "n_shingles long, key_hi long, key_lo long, bands array<long>, sketch array<long>"
 
@@ -119,11 +122,15 @@ def _confirm(batches: Iterator[pa.RecordBatch], shingle: int, least: int, of: in
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
+def texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of some representatives, written once."""
+    need = ids.join(reps.select("doc_id", "text_key"), "doc_id")
+    return cut(_keyed(docs).join(need, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text"), "near-texts")
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
     """Of the candidate pairs (a, b), those similar enough on their full shingle sets."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    need = need.join(reps.select("doc_id", "text_key"), "doc_id")
-    texts = cut(_keyed(docs).join(need, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text"), "near-texts")
+    texts = texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), reps, docs)
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     return pairs.join(b, "b").join(a, "a").mapInArrow(lambda it: _confirm(it, shingle, *threshold), "a long, b long")
@@ -152,12 +159,82 @@ def components(edges: DataFrame, label: str = "near-links") -> DataFrame:
     return links.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
 
 
-def _far(a: str, b: str, limit: int):
+def _close(a: str, b: str, limit: int):
     """True where two sketches are close enough for a full comparison."""
     total = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
     return total <= limit
 
 
+def _link_blocks(batches: Iterator[pa.RecordBatch], shingle: int, least: int, of: int) -> Iterator[pa.RecordBatch]:
+    """Groups of consecutive rows (bucket, lo, hi) to links that join their components."""
+    held, key = [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "lo", "hi")])
+        edge = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        for i, j in zip([0, *edge], [*edge, batch.num_rows], strict=True):
+            if j == i:
+                continue
+            now = tuple(keys[:, i])
+            if key is not None and now != key:
+                yield _spanning(pa.Table.from_batches(held), key[1] != key[2], shingle, least, of)
+                held = []
+            key = now
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield _spanning(pa.Table.from_batches(held), key[1] != key[2], shingle, least, of)
+
+
+def _spanning(rows: pa.Table, two_blocks: bool, shingle: int, least: int, of: int) -> pa.RecordBatch:
+    """Confirmed links between members of different components, as few as join all that can be joined.
+
+    Intersections come from postings over the group's shingles: one bincount gives a
+    member's against all others. Only members outside the largest component ask.
+    """
+    ids, comp, block = (rows.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+    buf, offsets = T.string_buffer(rows.column("text"))
+    g, first = T.document_grams(T.words(buf, offsets), shingle)
+    sets = [np.unique(g[first[d] : first[d + 1]]) for d in range(len(ids))]
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(ids)), size)
+    flat = np.concatenate(sets)
+    names, inverse = np.unique(flat, return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    posts, start = owner[order], np.searchsorted(inverse[order], np.arange(len(names) + 1))
+    at = np.concatenate([[0], np.cumsum(size)])
+    _, root = np.unique(comp, return_inverse=True)
+    root = root.copy()
+    asking = np.flatnonzero(root != np.argmax(np.bincount(root)))
+    a, b = [], []
+    for x in asking:
+        terms = inverse[at[x] : at[x + 1]]
+        inter = np.bincount(np.concatenate([posts[start[t] : start[t + 1]] for t in terms]), minlength=len(ids))
+        linked = (of * inter >= least * (size[x] + size - inter)) & (root != root[x])
+        if two_blocks:
+            linked &= block != block[x]
+        while linked.any():
+            y = int(np.argmax(linked))
+            a.append(min(ids[x], ids[y]))
+            b.append(max(ids[x], ids[y]))
+            root[root == root[y]] = root[x]
+            linked &= root != root[x]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def block_links(open_: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int], rows: int = BLOCK_ROWS, chars: int = BLOCK_CHARS) -> DataFrame:
+    """Links (a, b) that join the components met in each bucket of open_ (bucket, doc_id, component).
+
+    A bucket is split into blocks of bounded rows and characters, and each pair of its
+    blocks is one group, so a bucket of any size is spread over many tasks.
+    """
+    sized = open_.join(texts.select("doc_id", F.length("text").alias("n_chars")), "doc_id")
+    total = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n_chars") / chars), F.lit(1)).cast("int").alias("n_blocks"))
+    placed = open_.join(total, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "n_blocks").cast("int"))
+    keyed = placed.select("bucket", "doc_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    keyed = keyed.select("bucket", "doc_id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    full = keyed.join(texts, "doc_id").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "doc_id")
+    return full.mapInArrow(lambda it: _link_blocks(it, shingle, *threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     limit = sketch_limit(threshold[0] / threshold[1] - SLACK)
@@ -175,22 +252,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     stars = members.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     left = sketches.withColumnRenamed("doc_id", "a").alias("l")
     right = sketches.withColumnRenamed("doc_id", "b").alias("r")
-    close = stars.join(right, "b").join(left, "a").filter(_far("l", "r", limit)).select("a", "b")
+    close = stars.join(right, "b").join(left, "a").filter(_close("l", "r", limit)).select("a", "b")
     links = cut(confirmed(cut(close, "near-pairs"), reps, docs, shingle, threshold), "near-confirmed")
     labels = components(links)
 
     # what a bucket's smallest member didn't join may still join each other across components
     named = members.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = named.join(mixed, "bucket").join(sketches, "doc_id")
-    open_ = cut(open_, "near-open")
-    across = (
-        open_.alias("l").join(open_.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") < F.col("r.component")) & _far("l", "r", limit))
-        .select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct()
-    )
-    across = cut(across.join(stars, ["a", "b"], "left_anti"), "near-across")
-    if across.take(1):
-        more = cut(confirmed(across, reps, docs, shingle, threshold), "near-confirmed")
+    mixed = cut(named.join(mixed, "bucket").join(sketches, "doc_id"), "near-mixed")
+    near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & _close("l", "r", limit)
+    open_ = cut(mixed.alias("l").join(mixed.alias("r"), near, "left_semi").select("bucket", "doc_id", "component"), "near-open")
+    if open_.take(1):
+        more = cut(block_links(open_, texts_of(open_.select("doc_id").distinct(), reps, docs), shingle, threshold), "near-confirmed")
         if more.take(1):
             labels = components(links.union(more))
 
@@ -204,10 +277,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of near copies, columns unchanged."""
-    verdict = near_duplicates(docs, shingle, threshold).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.filter("doc_id IS NOT NULL").join(verdict, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    """docs with one document of each group of near copies, columns unchanged.
+
+    Of rows with the same doc_id one stays; rows with a null doc_id all stay.
+    """
+    verdict = near_duplicates(docs, shingle, threshold).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    away = cut(verdict.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("__id"), (F.col("kept")).alias("__one")), "near-away")
+    rest = docs.join(away, F.col("doc_id") == F.col("__id"), "left_anti")
+    if not away.filter("__one").take(1):
+        return rest
+    return rest.unionByName(docs.join(away.filter("__one"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))
 
 
 ORACLE = r"""
