@@ -7,8 +7,8 @@ instead of descending further. The model is linear over hashed words and word pr
 counted per document against the root of its word count, fitted in numpy; the slots it
 looks at are those whose share of positives stands out from that of unlabelled texts.
 
-It is fitted on a bounded sample (POSITIVES and UNLABELLED documents at most, drawn by
-key hash); the prior is the labelled rows' toxic share. Every text is then scored whole.
+It is fitted on a bounded sample (about POSITIVES and UNLABELLED documents, drawn by
+key hash at rates that follow from the counts); the prior is the labelled rows' toxic share. Every text is then scored whole.
 
 Defined results: a null or empty text has no features and scores by the intercept; rows
 that repeat are each scored; a doc_id that several label rows call toxic is one
@@ -65,7 +65,7 @@ def _values(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return np.log1p(20 * counts / np.sqrt(np.maximum(1, n_words))[:, None])
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], shared, keep_text: bool, name: str) -> Iterator[pa.RecordBatch]:
     column, weights, bias = shared.value
     for batch in batches:
         buf, offsets = T.string_buffer(batch.column("text"))
@@ -83,23 +83,44 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             size = np.diff(w.first)
             each = np.log1p(20 * counts / np.sqrt(np.maximum(1, size))[doc]) * weights[f]
             score[i:j] = np.bincount(doc, each, j - i) + bias
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(1 / (1 + np.exp(-np.clip(score, -40, 40))))], names=[*(c for c in batch.schema.names if c != "text"), "score"])
+        names = [c for c in batch.schema.names if c != "text" or keep_text]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(1 / (1 + np.exp(-np.clip(score, -40, 40))))], names=[*names, name])
 
 
-def choose_slots(rows: list[np.ndarray], positive: np.ndarray, most: int = FEATURES, least_z: float = 4.0) -> np.ndarray:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a task: the documents of each kind, and how many of them hold each slot."""
+    there, docs = np.zeros((2, 1 << BITS), np.int32), [0, 0]
+    for batch in batches:
+        lists, kinds = batch.column("slots"), batch.column("positive").to_numpy(zero_copy_only=False)
+        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i, kind in enumerate(kinds):
+            there[int(kind)][np.unique(values[at[i] : at[i + 1]])] += 1
+            docs[int(kind)] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([docs[0]]), pa.array([docs[1]]), pa.array([there.tobytes()], pa.binary())], names=["n_unl", "n_pos", "there"])
+
+
+def choose_slots(there: np.ndarray, n_unl: int, n_pos: int, most: int = FEATURES, least_z: float = 4.0) -> np.ndarray:
     """Slots whose share of positives stands out most from their share of unlabelled texts."""
-    there = np.zeros((2, 1 << BITS))
-    for r, p in zip(rows, positive, strict=True):
-        there[int(p)][np.unique(r)] += 1
-    n_unl, n_pos = max(1, int((~positive).sum())), max(1, int(positive.sum()))
-    pos, unl = there[1] / n_pos, (there[0] + 0.5) / (n_unl + 1)
-    z = (pos - unl) / np.sqrt(unl * (1 - unl) * (1 / n_pos + 1 / n_unl) + 1e-12)
+    pos, unl = there[1] / max(1, n_pos), (there[0] + 0.5) / (n_unl + 1)
+    z = (pos - unl) / np.sqrt(unl * (1 - unl) * (1 / max(1, n_pos) + 1 / max(1, n_unl)) + 1e-12)
     z[0] = 0
     z[there[1] < 3] = 0
     best = np.argsort(-z, kind="stable")[:most]
     return best[z[best] > least_z]
 
 
+def _rows(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The chosen slots' values of each document, as float32 bytes."""
+    column = np.zeros(1 << BITS, np.int32)
+    column[chosen] = np.arange(1, len(chosen) + 1)
+    for batch in batches:
+        lists = batch.column("slots")
+        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        counts = np.stack([np.bincount(column[values[at[i] : at[i + 1]]], minlength=len(chosen) + 1)[1:] for i in range(len(lists))]) if len(lists) else np.zeros((0, len(chosen)))
+        x = _values(counts, np.diff(at) // (len(PREFIXES) + 1)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "x"])
+
+
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
     """(weights, bias) that minimise the non-negative PU risk with the logistic loss, by Adam over the whole sample."""
     theta = np.zeros(x.shape[1] + 1)
@@ -123,17 +144,6 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400
     return theta[:-1], float(theta[-1])
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(column of each slot plus one, weights, bias) from the slots of the sample's documents."""
-    chosen = choose_slots(rows, positive)
-    column = np.zeros(1 << BITS, np.int32)
-    column[chosen] = np.arange(1, len(chosen) + 1)
-    counts = np.stack([np.bincount(column[r], minlength=len(chosen) + 1)[1:] for r in rows]) if rows else np.zeros((0, len(chosen)))
-    x = _values(counts.astype(np.float32), np.array([len(r) // (len(PREFIXES) + 1) for r in rows]))
-    weights, bias = fit_nnpu(x, positive, prior)
-    return column, weights, bias
-
-
 def toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
     """Fit on docs (doc_id, text) and labels (doc_id, toxic): a broadcast (columns, weights, bias)."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -146,15 +156,27 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE
     text = docs.select("doc_id", "text")
     pos = text.join(marked, "doc_id").select("text", F.lit(True).alias("positive"))
     unl = text.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(12)), F.lit(1_000_000)) < share(unlabelled, n_docs))).select("text", F.lit(False).alias("positive"))
-    sample = cut(pos.union(unl).mapInArrow(_slots, "positive boolean, slots array<int>"), "toxic-sample")
-    got = sample.limit(2 * (positives + unlabelled)).toArrow()
-    lists = got.column("slots").combine_chunks()
-    values, at = lists.values.to_numpy(zero_copy_only=False).view(np.uint32), lists.offsets.to_numpy()
-    rows = [values[at[i] : at[i + 1]] for i in range(len(lists))]
-    return broadcast_value(docs.sparkSession, fit(rows, got.column("positive").to_numpy().astype(bool), prior))
+    sample = cut(pos.union(unl).mapInArrow(_slots, "positive boolean, slots array<int>"), "toxic-sample").coalesce(8)
+    # the driver gets the sample's slot counts (2 MB a task, 8 tasks) and then the chosen columns alone
+    parts = sample.mapInArrow(_frequencies, "n_unl long, n_pos long, there binary").collect()
+    there = sum((np.frombuffer(p["there"], np.int32).reshape(2, -1) for p in parts), np.zeros((2, 1 << BITS), np.int64))
+    chosen = choose_slots(there, sum(p["n_unl"] for p in parts), sum(p["n_pos"] for p in parts))
+    got = sample.mapInArrow(lambda it: _rows(it, chosen), "positive boolean, x binary").toArrow()
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, len(chosen))
+    weights, bias = fit_nnpu(x, got.column("positive").to_numpy().astype(bool), prior)
+    column = np.zeros(1 << BITS, np.int32)
+    column[chosen] = np.arange(1, len(chosen) + 1)
+    return broadcast_value(docs.sparkSession, (column, weights, bias))
 
 
-def toxicity(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and score (0 to 1) of every row of docs."""
+def toxicity(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns and the score (0 to 1), under the name given, of every row of docs."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(lambda it: _score(it, model), f"{schema}, score double")
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    return rows.mapInArrow(lambda it: _score(it, model, "text" in keep, name), f"{schema}, `{name}` double")
+
+
+def acceptable(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """docs without those that score limit or more under a model of docs and labels; columns unchanged."""
+    model = toxicity_model(docs, labels)
+    return toxicity(docs, model, tuple(docs.columns), "__toxic").filter(F.col("__toxic") < limit).drop("__toxic")
