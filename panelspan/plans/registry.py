@@ -1,19 +1,24 @@
-"""All queries by name, with the SQL that each is held against."""
+"""All queries of the panel engine by name, with the SQL that each is held against, and the flagship."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspan.operators import metrics, windows
+from panelspan.plans import catalogue, views
+
 SMALLEST = "/root/testdata/sf0.001"
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet(f"{SMALLEST}/events.parquet")
+    """Persistence errors by lead over daily panels: grid, clean windows, horizons, metrics."""
+    panel = views.panel(spark, SMALLEST, minutes=1440)
+    return metrics.errors(metrics.persistence_predictions(windows.eligible_anchors(panel, 5, 2)), ["dataset", "horizon"])
 
 
 def queries() -> dict:
-    return {}
+    return dict(catalogue.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalogue.ORACLES)
