@@ -37,7 +37,7 @@ def query(sql: str | None):
     return add
 
 
-# panels
+# panels (means of a few readings can lie on a rounding edge; 1e-7 moves them off it in both engines)
 
 
 @query(panel_sql() + f" SELECT dataset, turbine_id, {at('timestamp')} AS timestamp, target_kw, is_observed, quality_flags FROM panel")
@@ -116,11 +116,11 @@ def farm_status(spark, sf):
 @query(
     panel_sql()
     + f""", site AS (SELECT timestamp, avg(target_kw) AS site_kw, count(*) FILTER (WHERE target_kw > 60) AS high_count, bool_or(target_kw > 60) AS any_high FROM obs WHERE turbine_id <> 'click' GROUP BY 1)
-  SELECT turbine_id, {at('p.timestamp')} AS timestamp, round(site_kw, 3) AS site_kw, coalesce(high_count, 0) AS high_count, coalesce(any_high, false) AS any_high FROM panel AS p LEFT JOIN site AS s ON s.timestamp = p.timestamp"""
+  SELECT turbine_id, {at('p.timestamp')} AS timestamp, round(site_kw + 1e-7, 3) AS site_kw, coalesce(high_count, 0) AS high_count, coalesce(any_high, false) AS any_high FROM panel AS p LEFT JOIN site AS s ON s.timestamp = p.timestamp"""
 )
 def site_attach(spark, sf):
     obs = V.observations(spark, sf).filter("turbine_id <> 'click'")
-    site = obs.groupBy("dataset", "timestamp").agg(F.round(F.avg("target_kw"), 3).alias("site_kw"), F.count_if(F.col("target_kw") > 60).alias("high_count"), F.max(F.col("target_kw") > 60).alias("any_high"))
+    site = obs.groupBy("dataset", "timestamp").agg(F.round(F.avg("target_kw") + 1e-7, 3).alias("site_kw"), F.count_if(F.col("target_kw") > 60).alias("high_count"), F.max(F.col("target_kw") > 60).alias("any_high"))
     return P.attach_site_series(V.panel(spark, sf), site).select("turbine_id", "timestamp", "site_kw", "high_count", "any_high")
 
 
@@ -357,10 +357,10 @@ def weighted_history_mean(spark, sf):
 @query(
     panel_sql()
     + f""", s AS (SELECT timestamp, coalesce(sum(target_kw), 0) / greatest(count(target_kw), 1) AS a, coalesce(sum(cos(target_kw * 0.017453292519943295)), 0) / greatest(count(target_kw), 1) AS c, coalesce(sum(sin(target_kw * 0.017453292519943295)), 0) / greatest(count(target_kw), 1) AS d, count(target_kw) / count(*) AS v FROM panel GROUP BY 1)
-  SELECT 'events' AS dataset, {at('timestamp')} AS timestamp, round(a, 3) AS mean_speed, round(c, 6) AS mean_cos, round(d, 6) AS mean_sin, round(v, 6) AS speed_availability, round(v, 6) AS direction_availability, round(sqrt(c * c + d * d), 6) AS resultant FROM s"""
+  SELECT 'events' AS dataset, {at('timestamp')} AS timestamp, round(a + 1e-7, 3) AS mean_speed, round(c, 6) AS mean_cos, round(d, 6) AS mean_sin, round(v, 6) AS speed_availability, round(v, 6) AS direction_availability, round(sqrt(c * c + d * d), 6) AS resultant FROM s"""
 )
 def site_summary(spark, sf):
-    return K.site_summary(V.panel(spark, sf), "target_kw", "target_kw").withColumn("mean_speed", F.round("mean_speed", 3))
+    return K.site_summary(V.panel(spark, sf), "target_kw", "target_kw").withColumn("mean_speed", F.round(F.col("mean_speed") + 1e-7, 3))
 
 
 # duplicates
