@@ -34,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Sharpness of the piece weights rank ** -ALPHA; larger comes closer to the best segmentation.
 ALPHA = 1.5
 SEED = 17
+#: Bytes of text whose lattices are built together.
+CHUNK = 3 << 18
 _SPACE = "▁"
 #: Stands for a literal U+2581 in a text; no piece has it.
 _LITERAL = 0x110000
@@ -116,14 +118,15 @@ class Lattices:
 
     def build(self, segments: list[str]) -> None:
         """The lattices of distinct segments, all at once."""
-        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        codes = np.where(codes == ord(_SPACE), _LITERAL, np.where(codes == 0x20, ord(_SPACE), codes))
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.int32).copy()
+        codes[codes == ord(_SPACE)] = _LITERAL
+        codes[codes == 0x20] = ord(_SPACE)
         size = np.fromiter(map(len, segments), np.int64, len(segments))
-        stop = np.cumsum(size)
-        number = np.repeat(np.arange(len(segments)), size)
+        stop = np.cumsum(size).astype(np.int32)  # places fit 32 bits: chunks are bounded, but for one longer text
+        number = np.repeat(np.arange(len(segments), dtype=np.int32), size)
         limit = stop[number]
         sums, inv = _char_hashes(codes)
-        at = np.arange(len(codes))
+        at = np.arange(len(codes), dtype=np.int32)
         ends, starts, arcs, weights = [], [], [], []
         for n in range(1, self.longest + 1):
             at = at[at + n <= limit[at]]
@@ -140,18 +143,18 @@ class Lattices:
             if n == 1:
                 bare = np.ones(len(codes), bool)
                 bare[kept[whole]] = False
-                lone = np.flatnonzero(bare)
+                lone = np.flatnonzero(bare).astype(np.int32)
                 if len(lone):
                     arc = self._byte_arcs(codes[lone])
                     many = np.array([len(a) for a in self.arc_ids])[arc - self.size]
                     ends.append(lone + 1)
                     starts.append(lone)
-                    arcs.append(arc)
-                    weights.append(self.byte_weight * many)
+                    arcs.append(arc.astype(np.int32))
+                    weights.append((self.byte_weight * many).astype(np.float32))
             ends.append(kept[whole] + n)
             starts.append(kept[whole])
-            arcs.append(piece[whole])
-            weights.append(self.key_weight[key[whole]])
+            arcs.append(piece[whole].astype(np.int32))
+            weights.append(self.key_weight[key[whole]].astype(np.float32))
             at = kept
         # node numbers: character places, with one more node before each segment
         start, end = np.concatenate(starts), np.concatenate(ends)
@@ -159,8 +162,8 @@ class Lattices:
         order = np.argsort(end + seg, kind="stable")
         start, end, seg = start[order], end[order], seg[order]
         arc, weight = np.concatenate(arcs)[order], np.concatenate(weights)[order]
-        base = stop - size + np.arange(len(segments))
-        node, prev = end + seg + 1 - 1, start + seg
+        base = (stop - size + np.arange(len(segments))).astype(np.int64)
+        node, prev = end + seg, start + seg
         depth = end - (stop - size)[seg]
         by = np.argsort(depth.astype(np.uint16) if depth.max(initial=0) < 65536 else depth, kind="stable")
         bounds = np.searchsorted(depth[by], np.arange(1, depth.max(initial=0) + 2))
@@ -252,7 +255,7 @@ def _encode(batches: Iterator[pa.RecordBatch], shared, seed: int) -> Iterator[pa
         buf, offsets = T.string_buffer(column)
         seeds = T.mix(batch.column("row_seed").to_numpy().view(T.U64) + T.U64(seed))
         absent = column.is_null().to_numpy(zero_copy_only=False)
-        for i, j, b, o in T.chunks(buf, offsets, 1 << 21):
+        for i, j, b, o in T.chunks(buf, offsets, CHUNK):
             texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
             ids, first = lat.sample(*lat.segments(texts), seeds[i:j])
             back, off = lat.decode(ids, first)
