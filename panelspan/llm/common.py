@@ -5,12 +5,32 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once a session; they fetch it from the driver.
+
+    Operators that run Python there call this before they build their plans.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_panelspan_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp()) / "panelspan.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._panelspan_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +61,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def broadcast_value(spark: SparkSession, value):
     """A Python broadcast; callers check or bound the size of value first."""
+    ship(spark)
     return spark.sparkContext.broadcast(value)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
-from panelspan.llm.common import cut
+from panelspan.llm.common import cut, ship
 
 SHINGLE = 5
 BANDS, ROWS = 30, 5
@@ -237,6 +237,7 @@ def block_links(open_: DataFrame, texts: DataFrame, shingle: int, threshold: tup
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     limit = sketch_limit(threshold[0] / threshold[1] - SLACK)
     signed = cut(signatures(docs, shingle), "near-signed")
     groups = signed.filter("n_shingles > 0").groupBy("key_hi", "key_lo", "n_shingles").agg(F.min("doc_id").alias("rep"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
-from panelspan.llm.common import broadcast_value, cut
+from panelspan.llm.common import broadcast_value, cut, ship
 
 FEATURES, BINS, RIDGE, SEED = 256, 512, 1.0, 5
 #: Kernel width against the root of the number of statistics.
@@ -181,6 +181,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, calibration=None):
     calibration: a condition on doc_id for rows that calibrate instead of being fitted.
     """
     spark = docs.sparkSession
+    ship(spark)
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     fold = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0) if calibration is None else calibration
     rows = docs.select("doc_id", "text").join(known, "doc_id").select("y", fold.alias("fold"), "text")

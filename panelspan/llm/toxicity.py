@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
-from panelspan.llm.common import broadcast_value, cut
+from panelspan.llm.common import broadcast_value, cut, ship
 
 POSITIVES, UNLABELLED = 3000, 6000
 PREFIXES = (4, 5, 6, 7, 9)
@@ -146,6 +146,7 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
     """Fit on docs (doc_id, text) and labels (doc_id, toxic): a broadcast (columns, weights, bias)."""
+    ship(docs.sparkSession)
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_known, n_toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     n_docs = docs.count()

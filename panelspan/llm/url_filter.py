@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
-from panelspan.llm.common import broadcast_value
+from panelspan.llm.common import broadcast_value, ship
 
 #: (rule, verdict): a host, a slash, and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -152,6 +152,7 @@ def url_model(judged: DataFrame):
 
 def judge(pages: DataFrame, rules=RULES, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The kept columns with host, path, rule, verdict and difference (null where a rule decides) of every row."""
+    ship(pages.sparkSession)
     verdicts = dict(rules)
     # distinct helper names: pages may have columns of its own called host, path or rule
     base = pages.select(*keep, host_of(F.col("url")).alias("__host"), path_of(F.col("url")).alias("__path"), F.coalesce(_rest(F.col("url")), F.lit("")).alias("__rest"))

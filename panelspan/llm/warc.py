@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspan.llm.common import cut, fresh_path
+from panelspan.llm.common import cut, fresh_path, ship
 
 LEAST_SHARED = 100
 #: Bytes between selected records that are read along rather than skipped, and the most in one read.
@@ -109,6 +109,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: int
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_shared: int = LEAST_SHARED, date: str = DATE, level: int = LEVEL) -> tuple[DataFrame, str]:
     """Write pages (page_id, url, html) to archives; (the stored index, their folder)."""
+    ship(pages.sparkSession)
     folder = folder or fresh_path(pages.sparkSession, "warc")
     html = F.coalesce("html", F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("size"))
