@@ -13,6 +13,7 @@ from panelspan.functions import timeutil as T
 from panelspan.operators import cleaning as C
 from panelspan.operators import events as E
 from panelspan.operators import geometry as G
+from panelspan.operators import lookup as L
 from panelspan.operators import metrics as K
 from panelspan.operators import panel as P
 from panelspan.operators import policy as Y
@@ -670,3 +671,36 @@ def revision_stream(spark, sf):
     from panelspan.streaming import revisions
 
     return revisions.latest(V.table(spark, sf, "events").select("user_id", "event_type", "ts", "value"), ["user_id", "event_type"], "ts", ["value"]).select("user_id", "event_type", F.col("ts").alias("last_ts"), "value")
+
+
+@query("SELECT n_name, r_name, n_nationkey::BIGINT AS n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+def dimension_lookup(spark, sf):
+    dim = V.table(spark, sf, "region").filter("r_name <> 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return L.lookup(V.table(spark, sf, "nation"), dim, "n_regionkey").select("n_name", "r_name", "n_nationkey")
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name, NULL::DOUBLE AS balance FROM nation UNION ALL SELECT 'S' || s_suppkey::VARCHAR, NULL, s_acctbal FROM supplier")
+def diagonal_union(spark, sf):
+    n = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    s = V.table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_acctbal").alias("balance"))
+    return L.diagonal_union([n, s])
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_nationkey < 5 THEN 'missing' ELSE 'extra' END AS side FROM nation WHERE n_nationkey < 5 OR n_nationkey >= 20")
+def key_difference(spark, sf):
+    n = V.table(spark, sf, "nation").select("n_nationkey")
+    return L.key_difference(n.filter("n_nationkey < 20"), n.filter("n_nationkey >= 5"), ["n_nationkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def pending_jobs(spark, sf):
+    from panelspan.sources import layers
+
+    done = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return layers.pending(V.table(spark, sf, "customer").select("c_custkey"), done, ["c_custkey"])
+
+
+@query("SELECT 'file' AS \"table\", p_brand AS \"column\", 'x' AS asset, count(DISTINCT p_type) AS file_count, array_to_string(list_slice(list_sort(list_distinct(list(p_type))), 1, 3), ',') AS examples FROM part GROUP BY 2")
+def schema_inventory(spark, sf):
+    headers = V.table(spark, sf, "part").select(F.col("p_type").alias("path"), F.lit("x").alias("asset"), F.lit("file").alias("table"), F.col("p_brand").alias("column"))
+    return Y.schema_inventory(headers)

@@ -147,3 +147,17 @@ def test_tiles(spark):
     df = spark.createDataFrame([("A", i, i) for i in range(5)], "turbine_id string, o int, v int")
     assert [(r["tile_row"], r["tile_col"]) for r in rows(reshape.tile(df, ["turbine_id"], "o", "v"), "value")] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
     assert reshape.padding(df, ["turbine_id"]).count() == 4
+
+
+def test_lookups_and_runs(spark):
+    from panelspan.functions import runs
+    from panelspan.operators import lookup
+
+    rows_ = spark.createDataFrame([("a", 1), ("b", 2)], "variant string, v int")
+    dim = spark.createDataFrame([("a", "x")], "variant string, family string")
+    assert lookup.lookup(rows_, dim, "variant", required=False).count() == 2
+    with pytest.raises(ValueError, match="unknown variant"):
+        lookup.annotate(rows_, dim, "variant")
+    assert runs.parse_stem(runs.run_stem(dt.datetime(2024, 1, 2, 3, 4, 5, tzinfo=dt.timezone.utc))).hour == 3
+    with pytest.raises(ValueError):
+        runs.component("a/b")
