@@ -165,7 +165,7 @@ def attach_site_series(panel: DataFrame, site: DataFrame, local: DataFrame | Non
     return out.withColumns(fills) if fills else out
 
 
-def long_runs_of_targets(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+def joined_series(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """All keys of two series with the columns of both: the union of the keys, then left joins."""
     axis = first.select(*keys).union(second.select(*keys)).distinct()
     return axis.join(first, keys, "left").join(second, keys, "left")
