@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
-from panelspan.llm.common import broadcast_value, ship
+from panelspan.llm.common import broadcast_value, cut, ship
 
 #: (rule, verdict): a host, a slash, and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -102,10 +102,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Markov:
     """Counts of one kind of URL, hashed."""
 
-    def __init__(self, context: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        self.seen = np.bincount(context, n, SLOTS).astype(np.float32)
-        self.kinds = np.bincount(context, minlength=SLOTS).astype(np.float32)
-        self.gram = np.bincount(gram, n, SLOTS).astype(np.float32)
+    def __init__(self, contexts: pa.Table, grams: pa.Table, allowed: bool):
+        own = lambda t: t.filter(pa.array(t.column("allowed").to_numpy().astype(bool) == allowed))
+        c, g = own(contexts), own(grams)
+        fill = lambda t, slot, value: np.bincount(t.column(slot).to_numpy(), t.column(value).to_numpy(), SLOTS).astype(np.float32)
+        self.seen, self.kinds, self.gram = fill(c, "context", "seen"), fill(c, "context", "kinds"), fill(g, "gram", "n")
 
     def log_likelihood(self, buf: np.ndarray, slots: list) -> np.ndarray:
         p = np.full(len(buf), 1 / 256)
@@ -134,12 +135,14 @@ def url_model(judged: DataFrame):
     """From (text, allowed, held): (broadcast models, threshold), or None without both kinds."""
     spark = judged.sparkSession
     counts = judged.filter("NOT held").select("text", "allowed").mapInArrow(_count, "allowed boolean, context long, gram long, n long")
-    got = counts.groupBy("allowed", "context", "gram").agg(F.sum("n").alias("n")).toArrow()
-    allowed = got.column("allowed").to_numpy().astype(bool)
+    counts = cut(counts.groupBy("allowed", "context", "gram").agg(F.sum("n").alias("n")), "url-grams")
+    # by slot, of which there are SLOTS a kind, before anything comes to the driver
+    contexts = counts.groupBy("allowed", "context").agg(F.sum("n").alias("seen"), F.count("*").alias("kinds")).toArrow()
+    grams = counts.groupBy("allowed", "gram").agg(F.sum("n").alias("n")).toArrow()
+    allowed = grams.column("allowed").to_numpy().astype(bool)
     if not allowed.any() or allowed.all():
         return None
-    context, gram, n = (got.column(c).to_numpy() for c in ("context", "gram", "n"))
-    shared = broadcast_value(spark, tuple(Markov(context[allowed == k], gram[allowed == k], n[allowed == k]) for k in (True, False)))
+    shared = broadcast_value(spark, tuple(Markov(contexts, grams, k) for k in (True, False)))
     scored = judged.filter("held AND allowed").select("text").mapInArrow(lambda it: _score(it, shared), "difference double")
     at = F.least(F.greatest(F.floor((F.col("difference") + RANGE) / (2 * RANGE) * BINS), F.lit(0)), F.lit(BINS - 1))
     bins = np.zeros(BINS)
