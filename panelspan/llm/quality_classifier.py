@@ -105,7 +105,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, x in _each(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "fold", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -184,8 +184,9 @@ def quality_model(docs: DataFrame, labels: DataFrame, calibration=None):
     ship(spark)
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     fold = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0) if calibration is None else calibration
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("y", fold.alias("fold"), "text")
-    rows = cut(rows.mapInArrow(_kept, "y int, fold boolean, x binary"), "quality-statistics")
+    # statistics first, then the join with labels: 200 bytes a document are shuffled, not its text
+    made = docs.select("doc_id", "text").mapInArrow(_kept, f"doc_id {dict(docs.dtypes)['doc_id']}, x binary")
+    rows = cut(made.join(known, "doc_id").select("y", fold.alias("fold"), "x"), "quality-statistics")
     fit, rest = rows.filter("NOT fold"), rows.filter("fold")
     moments = combined(fit.mapInArrow(_add_moments, "n long, total binary").select("total", "n"))
     n = fit.count()
