@@ -478,7 +478,7 @@ SELECT s_suppkey, strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp, t >= a AND t <=
 def intervention_features(spark, sf):
     base = F.lit("2024-01-01").cast("timestamp_ntz")
     later = lambda h: base + F.make_dt_interval(hours=F.col("s_suppkey").cast("int") % 24 + h)
-    i = V.table(spark, sf, "supplier").filter("s_suppkey <= 100").select("s_suppkey", later(0).alias("start_ts"), later(5).alias("effective_ts"), later(9).alias("end_ts"))
+    i = V.table(spark, sf, "supplier").select("s_suppkey", later(0).alias("start_ts"), later(5).alias("effective_ts"), later(9).alias("end_ts"))
     return E.intervention_features(i, ["s_suppkey"], F.lit("2024-01-03").cast("timestamp_ntz"), HOURLY)
 
 

@@ -33,8 +33,8 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred suppliers as an entity registry with positions."""
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey <= 100")
+    """The suppliers as an entity registry with positions."""
+    s = table(spark, sf_dir, "supplier")
     return s.select(F.format_string("T%05d", "s_suppkey").alias("turbine_id"), F.col("s_acctbal").cast("double").alias("x"), (F.col("s_suppkey") * 10).cast("double").alias("y"), (F.col("s_suppkey") % 7).cast("double").alias("elevation"), (F.lit(80.0) + F.col("s_nationkey")).alias("rotor"))
 
 
