@@ -201,8 +201,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         merged = parts[0]
         for p in parts[1:]:
             merged = merged.union(p)
-        merged = merged.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("starts")).alias("starts"), F.flatten(F.collect_set("ends")).alias("ends"), F.flatten(F.collect_set("items")).alias("items"))
-        merged = merged.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "starts", "ends", "items")
+        merged = merged.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("starts", "ends")).alias("found"), F.flatten(F.collect_set("items")).alias("items"))
+        # a shard's starts and ends stay together: as sets of their own, equal starts of two shards would leave ends without one
+        merged = merged.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.flatten("found.starts").alias("starts"), F.flatten("found.ends").alias("ends"), "items")
         empty = broadcast_value(spark, build_index([], [], window, k))
         counted = keyed.mapInArrow(lambda it: _search(it, empty, window, k, True), _FOUND).select("doc_id", "text_key", "n_words")
         found = counted.join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left")

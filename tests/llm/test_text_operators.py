@@ -64,6 +64,18 @@ def test_decontamination_against_brute_force(spark, shard):
     assert {r["doc_id"]: tuple(r)[1:] for r in out} == brute_hits(texts, items)
 
 
+def test_shards_whose_items_share_a_prefix_or_a_suffix(spark):
+    """Whole items of one shard over parts of items of another: equal starts with other ends, and equal ends with other starts."""
+    w = [f"w{i}" for i in range(60)]
+    said = lambda *a: " ".join(a)
+    items = [(str(k), said(*w[:30])) for k in range(4)] + [(str(k), said(*w[:15], f"x{k}")) for k in range(4, 12)] + [(str(k), said(f"y{k}", *w[15:30])) for k in range(12, 20)] + [("20", said(*w[40:55]))]
+    texts = [said("a", *w[:30], "b"), said("a", *w[:30], "b", *w[40:55], "c"), said(*w[:15], "b", *w[40:55]), said("a", *w[15:30], "b"), said("a", *w[10:30], "b")]
+    b = spark.createDataFrame(items, "item_id string, text string")
+    for shard in (10**6, 100, 400):
+        out = D.digest(D.contamination(docs(spark, texts), b, shard_chars=shard)).collect()
+        assert {r["doc_id"]: tuple(r)[1:] for r in out} == brute_hits(texts, items)
+
+
 def test_decontamination_edges(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     d = docs(spark, ["a b c", None])
