@@ -9,7 +9,7 @@ from panelspan.llm.common import cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, line frequencies included."""
+    """Documents that pass the quality rules, without the lines that are too common on their host."""
     return quality_rules.good_documents(docs)
 
 

@@ -4,8 +4,9 @@ Per document: word, symbol, repeated-line and repeated-trigram counts, computed
 the row. Across documents: each normalised line (words joined by one space, A-Z
 lower-cased) is hashed, its distinct texts are counted per host (``source``), and lines
 found in more than max(LINE_FLOOR, LINE_SHARE of the host's distinct texts) of them are
-removed. A document that loses DEPLETED_PERCENT of its distinct lines' words, or more,
-is rejected.
+removed: verdicts count what that takes, and good_documents returns the texts without
+them. A document that loses DEPLETED_PERCENT of its distinct lines' words, or more, is
+rejected.
 
 Copies count once, by text hash, so a page does not become boilerplate by being
 crawled often; and the limit is a share of the host, so it behaves alike at every size.
@@ -44,6 +45,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _WS, " " * len(_WS)), " "), lambda w: w != "")
 
 
+def _plain(line: Column) -> Column:
+    """A line as it is compared: its words, A-Z lower-cased, joined by one space."""
+    return F.array_join(_words(F.translate(line, _UPPER, _LOWER)), " ")
+
+
 def _repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, the first time included.
 
@@ -83,20 +89,40 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """(host, text_key, line_key, n): the normalised lines of each distinct text and their word counts."""
     text = F.coalesce("text", F.lit(""))
-    plain = lambda x: F.array_join(_words(F.translate(x, _UPPER, _LOWER)), " ")
     keyed = lambda x: F.struct(F.xxhash64(x).alias("line_key"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("n"))
-    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), plain), lambda x: x != ""), keyed))
+    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), _plain), lambda x: x != ""), keyed))
     rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_key"), F.explode(lines).alias("l"))
     return rows.select("host", "text_key", "l.line_key", "l.n").distinct()
 
 
-def depleted_texts(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, percent: int = DEPLETED_PERCENT) -> DataFrame:
-    """(host, text_key, n_removed) of the texts that lose too many of their words."""
-    lines = distinct_lines(docs)
+def common_lines(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE) -> DataFrame:
+    """(host, line_key) of the lines above their host's limit."""
     limits = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).distinct()
     limits = limits.groupBy("host").agg(F.greatest(F.lit(float(floor)), F.count("*") * F.lit(share)).alias("most"))
-    common = lines.groupBy("host", "line_key").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") > floor)
-    common = common.join(limits, "host").filter("n_texts > most").select("host", "line_key", F.lit(True).alias("common"))
+    common = distinct_lines(docs).groupBy("host", "line_key").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") > floor)
+    return common.join(limits, "host").filter("n_texts > most").select("host", "line_key")
+
+
+def without_lines(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """docs without the lines of common (host, line_key) in their texts; the other columns stay, but an n_chars follows its text.
+
+    A host has few common lines (at most 1 / LINE_SHARE times the lines of a text), so they are joined as one array by host.
+    """
+    cuts = common.groupBy(F.col("host").alias("__ch")).agg(F.collect_set("line_key").alias("__cut"))
+    joined = docs.join(cuts, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__ch"), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__cut", F.xxhash64(_plain(x)))), "\n")
+    joined = joined.withColumn("__left", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(left))
+    put = {"text": F.col("__left")}
+    if "n_chars" in docs.columns:
+        n = F.length("__left").cast(docs.schema["n_chars"].dataType)
+        put["n_chars"] = F.when(F.col("__left").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(n)
+    return joined.select(*[put[c].alias(c) if c in put else F.col(f"`{c}`") for c in docs.columns])
+
+
+def depleted_texts(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, percent: int = DEPLETED_PERCENT, common: DataFrame | None = None) -> DataFrame:
+    """(host, text_key, n_removed) of the texts that lose too many of their words to common, or else to common_lines()."""
+    lines = distinct_lines(docs)
+    common = (common_lines(docs, floor, share) if common is None else common).select("host", "line_key", F.lit(True).alias("common"))
     lost = lines.join(common, ["host", "line_key"], "left").groupBy("host", "text_key").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("common"), F.col("n")).otherwise(0)).alias("n_removed"))
     return lost.filter(F.col("n_removed") * 100 >= F.col("n_all") * percent).filter("n_removed > 0").select("host", "text_key", "n_removed")
 
@@ -113,13 +139,18 @@ def quality_verdicts(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LI
 
 
 def good_documents(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, percent: int = DEPLETED_PERCENT) -> DataFrame:
-    """docs without the rejected ones, columns unchanged: the verdict is the text's and host's, so no key column is needed."""
+    """docs without the rejected ones, and without the lines above limits in the texts of the others.
+
+    The verdict is the text's and host's, so no key column is needed.
+    """
     text, host = F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
     base = docs.withColumn("__h", host).withColumn("__k", F.xxhash64(text))
     base = base.withColumn("__s", _let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r"))))
     base = base.filter("__s.n >= 50 AND __s.r * 100 <= __s.n * 50").drop("__s")
-    bad = cut(depleted_texts(docs, floor, share, percent).select(F.col("host").alias("__bh"), F.col("text_key").alias("__bk")), "depleted")
-    return base.join(bad, (F.col("__h") == F.col("__bh")) & (F.col("__k") == F.col("__bk")), "left_anti").drop("__h", "__k")
+    common = cut(common_lines(docs, floor, share), "common-lines")
+    bad = cut(depleted_texts(docs, floor, share, percent, common).select(F.col("host").alias("__bh"), F.col("text_key").alias("__bk")), "depleted")
+    kept = base.join(bad, (F.col("__h") == F.col("__bh")) & (F.col("__k") == F.col("__bk")), "left_anti").drop("__h", "__k")
+    return without_lines(kept, common)
 
 
 ORACLE = r"""

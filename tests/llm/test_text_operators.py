@@ -122,6 +122,22 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert Q.quality_verdicts(d.limit(0)).count() == 0 and Q.good_documents(d.limit(0)).count() == 0
 
 
+def test_good_documents_lose_the_lines_above_the_limit(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    heads, tails = [say(60) for _ in range(60)], [say(20) for _ in range(60)]
+    license = "Licensed under  X by Somebody"
+    texts = [f"{h}\n\n{license.upper() if i % 2 else license} \n{t}\n" if i < 30 else f"{h}\n{license if i < 35 else t}" for i, (h, t) in enumerate(zip(heads, tails, strict=True))]
+    rows = [(i, t, "a" if i < 30 else "b" if i < 59 else None, len(t)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    kept = Q.good_documents(d)
+    assert kept.schema == d.schema
+    got = {r["doc_id"]: r for r in kept.collect()}
+    want = {i: f"{heads[i]}\n\n{tails[i]}\n" if i < 30 else texts[i] for i in range(60)}  # five texts of host b are under the limit
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def toxic_case(n=600):
     rng = random.Random(5)
     say = lambda k: [f"w{rng.randrange(400)}" for _ in range(k)]
