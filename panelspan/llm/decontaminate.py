@@ -9,11 +9,14 @@ looked up at every position.
 
 The benchmark is split by item into shards of a bounded number of characters, checked
 before anything is broadcast; one shard is the usual case and needs no shuffle at all.
-With more, each shard passes over the documents and the hits are merged by document.
+With more, each shard in turn is collected, broadcast, searched, its hits stored, and
+given up before the next one, so driver and executors hold one; the hits are then merged
+by document.
 
 Defined results: a null text has no words; an item without words never occurs; rows
 that repeat are each answered; an item_id on several rows is one item; a null item_id
-marks words as hit, but is not listed.
+marks words as hit, but is not listed; very long texts are searched whole, in chunks of
+whole documents; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
-from panelspan.llm.common import broadcast_value, cut
+from panelspan.llm.common import broadcast_value, cut, unused
 
 WINDOW, GRAM = 10, 5
 #: Benchmark characters in one broadcast index (some 60 MB of hashes).
@@ -180,9 +183,9 @@ def _search(batches: Iterator[pa.RecordBatch], shared, window: int, k: int, all_
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(doc_id, n_words, spans array<struct<start, end>> of hit words, items array<string>) of every row of docs.
+    """(doc_id, text_key, n_words, spans array<struct<start, end>> of hit words, items array<string>) of every row of docs.
 
-    spans are disjoint and in order; items are sorted as strings.
+    spans are disjoint and in order; items are sorted as strings; text_key is the hash of the text.
     """
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL")
@@ -191,10 +194,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     parts = []
     for s in range(n_shards):
-        shard = rows if n_shards == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == s)
+        # an item stands in one shard, so an item without an id is dealt by its text
+        shard = rows if n_shards == 1 else rows.filter(F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(n_shards)) == s)
         got = shard.collect()
         shared = broadcast_value(spark, build_index([r[0] for r in got], [r[1] for r in got], window, k))
-        parts.append(keyed.mapInArrow(lambda it, shared=shared, one=n_shards == 1: _search(it, shared, window, k, one), _FOUND))
+        part = keyed.mapInArrow(lambda it, shared=shared, one=n_shards == 1: _search(it, shared, window, k, one), _FOUND)
+        parts.append(part if n_shards == 1 else cut(part, "leaks-of-shard"))
+        if n_shards > 1:
+            shared.unpersist()
     if n_shards == 1:
         found = parts[0]
     else:
@@ -211,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
             found = found.withColumn(c, F.coalesce(c, F.array().cast(kind)))
         found = found.transform(_merge_spans)
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct(x["starts"].alias("start"), x["ends"].alias("end")))
-    return found.select("doc_id", "n_words", spans.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    return found.select("doc_id", "text_key", "n_words", spans.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def _merge_spans(found: DataFrame) -> DataFrame:
@@ -237,10 +244,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark window; columns unchanged, a null doc_id stays only if no null-id row is hit."""
+    """docs without those that hold a benchmark window; columns unchanged.
+
+    A row is judged by its doc_id and text together, so neither a null nor a repeated id takes clean rows along.
+    """
+    id_, key = unused(docs.columns, "__bad"), unused(docs.columns, "__key")
     # stored, so that the planner knows its size and need not shuffle the texts if it is small
-    bad = cut(contamination(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = cut(contamination(docs, benchmark).filter(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct(), "leaks")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
+    return docs.join(bad, same, "left_anti")
 
 
 ORACLE = r"""
