@@ -2,18 +2,21 @@
 
 Per document: word, symbol, repeated-line and repeated-trigram counts, computed inside
 the row. Across documents: each normalised line (words joined by one space, A-Z
-lower-cased) is hashed, its distinct texts are counted per host (``source``), and lines
-found in more than max(LINE_FLOOR, LINE_SHARE of the host's distinct texts) of them are
-removed: verdicts count what that takes, and good_documents returns the texts without
-them. A document that loses DEPLETED_PERCENT of its distinct lines' words, or more, is
-rejected.
-
-Copies count once, by text hash, so a page does not become boilerplate by being
-crawled often; and the limit is a share of the host, so it behaves alike at every size.
-Equal texts on a host share one verdict, which also settles repeated rows.
+lower-cased) is hashed, its distinct documents are counted per host (``source``), and
+lines found in more than LINE_ROOT times the root of the number of the host's documents
+are removed: verdicts count what that takes, and good_documents returns the texts
+without them. A document that loses DEPLETED_PERCENT of its distinct lines' words, or
+more, is rejected.
+
+Documents of a host are told apart by text hash: exact copies are one document, so a
+page does not become boilerplate by being crawled often. The root is one rule for hosts
+of every size; a share would let a passage stand in thousands of documents of a hot
+host, a fixed count would clear a large host of its ordinary short lines. Equal texts on
+a host share one verdict, which also settles repeated rows.
 
 Defined results: a null text counts as empty; a null source is the host ''; a document
-without words fails the base rule; repeated rows are each answered.
+without words fails the base rule; repeated rows are each answered; a text is split and
+hashed whole, however long; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspan.llm.common import cut
+from panelspan.llm.common import cut, unused
 
-LINE_FLOOR, LINE_SHARE = 20, 0.02
-DEPLETED_PERCENT = 70
+LINE_ROOT = 1.0
+DEPLETED_PERCENT = 30
 
 _WS = " \t\n\x0b\f\r"
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -95,42 +98,44 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return rows.select("host", "text_key", "l.line_key", "l.n").distinct()
 
 
-def common_lines(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE) -> DataFrame:
+def common_lines(docs: DataFrame, root: float = LINE_ROOT) -> DataFrame:
     """(host, line_key) of the lines above their host's limit."""
     limits = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).distinct()
-    limits = limits.groupBy("host").agg(F.greatest(F.lit(float(floor)), F.count("*") * F.lit(share)).alias("most"))
-    common = distinct_lines(docs).groupBy("host", "line_key").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") > floor)
+    limits = limits.groupBy("host").agg((F.sqrt(F.count("*").cast("double")) * F.lit(root)).alias("most"))
+    common = distinct_lines(docs).groupBy("host", "line_key").agg(F.count("*").alias("n_texts"))
     return common.join(limits, "host").filter("n_texts > most").select("host", "line_key")
 
 
 def without_lines(docs: DataFrame, common: DataFrame) -> DataFrame:
     """docs without the lines of common (host, line_key) in their texts; the other columns stay, but an n_chars follows its text.
 
-    A host has few common lines (at most 1 / LINE_SHARE times the lines of a text), so they are joined as one array by host.
+    A host has fewer common lines than LINE_ROOT ** -1 times the root of its documents' number times
+    the lines of a document, so they are joined as one array by host.
     """
-    cuts = common.groupBy(F.col("host").alias("__ch")).agg(F.collect_set("line_key").alias("__cut"))
-    joined = docs.join(cuts, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__ch"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__cut", F.xxhash64(_plain(x)))), "\n")
-    joined = joined.withColumn("__left", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(left))
-    put = {"text": F.col("__left")}
+    there, gone, left_ = (unused(docs.columns, n) for n in ("__ch", "__cut", "__left"))
+    cuts = common.groupBy(F.col("host").alias(there)).agg(F.collect_set("line_key").alias(gone))
+    joined = docs.join(cuts, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(there), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(_plain(x)))), "\n")
+    joined = joined.withColumn(left_, F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    put = {"text": F.col(left_)}
     if "n_chars" in docs.columns:
-        n = F.length("__left").cast(docs.schema["n_chars"].dataType)
-        put["n_chars"] = F.when(F.col("__left").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(n)
+        n = F.length(left_).cast(docs.schema["n_chars"].dataType)
+        put["n_chars"] = F.when(F.col(left_).eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(n)
     return joined.select(*[put[c].alias(c) if c in put else F.col(f"`{c}`") for c in docs.columns])
 
 
-def depleted_texts(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, percent: int = DEPLETED_PERCENT, common: DataFrame | None = None) -> DataFrame:
-    """(host, text_key, n_removed) of the texts that lose too many of their words to common, or else to common_lines()."""
+def depleted_texts(docs: DataFrame, common: DataFrame, percent: int = DEPLETED_PERCENT) -> DataFrame:
+    """(host, text_key, n_removed) of the texts that lose too many of their words to the lines of common (host, line_key)."""
     lines = distinct_lines(docs)
-    common = (common_lines(docs, floor, share) if common is None else common).select("host", "line_key", F.lit(True).alias("common"))
+    common = common.select("host", "line_key", F.lit(True).alias("common"))
     lost = lines.join(common, ["host", "line_key"], "left").groupBy("host", "text_key").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("common"), F.col("n")).otherwise(0)).alias("n_removed"))
     return lost.filter(F.col("n_removed") * 100 >= F.col("n_all") * percent).filter("n_removed > 0").select("host", "text_key", "n_removed")
 
 
-def quality_verdicts(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, percent: int = DEPLETED_PERCENT) -> DataFrame:
+def quality_verdicts(docs: DataFrame, root: float = LINE_ROOT, percent: int = DEPLETED_PERCENT) -> DataFrame:
     """The contract's columns of every row of docs (doc_id, text, source)."""
     stats = document_statistics(docs)
-    bad = depleted_texts(docs, floor, share, percent).select("host", "text_key", F.lit(True).alias("depleted"))
+    bad = depleted_texts(docs, common_lines(docs, root), percent).select("host", "text_key", F.lit(True).alias("depleted"))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return stats.join(bad, ["host", "text_key"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -138,18 +143,19 @@ def quality_verdicts(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LI
     )
 
 
-def good_documents(docs: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE, percent: int = DEPLETED_PERCENT) -> DataFrame:
+def good_documents(docs: DataFrame, root: float = LINE_ROOT, percent: int = DEPLETED_PERCENT) -> DataFrame:
     """docs without the rejected ones, and without the lines above limits in the texts of the others.
 
     The verdict is the text's and host's, so no key column is needed.
     """
     text, host = F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
-    base = docs.withColumn("__h", host).withColumn("__k", F.xxhash64(text))
-    base = base.withColumn("__s", _let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r"))))
-    base = base.filter("__s.n >= 50 AND __s.r * 100 <= __s.n * 50").drop("__s")
-    common = cut(common_lines(docs, floor, share), "common-lines")
-    bad = cut(depleted_texts(docs, floor, share, percent, common).select(F.col("host").alias("__bh"), F.col("text_key").alias("__bk")), "depleted")
-    kept = base.join(bad, (F.col("__h") == F.col("__bh")) & (F.col("__k") == F.col("__bk")), "left_anti").drop("__h", "__k")
+    h, k, s, bh, bk = (unused(docs.columns, n) for n in ("__h", "__k", "__s", "__bh", "__bk"))
+    base = docs.withColumn(h, host).withColumn(k, F.xxhash64(text))
+    base = base.withColumn(s, _let(_words(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r"))))
+    base = base.filter((F.col(s)["n"] >= 50) & (F.col(s)["r"] * 100 <= F.col(s)["n"] * 50)).drop(s)
+    common = cut(common_lines(docs, root), "common-lines")
+    bad = cut(depleted_texts(docs, common, percent).select(F.col("host").alias(bh), F.col("text_key").alias(bk)), "depleted")
+    kept = base.join(bad, (F.col(h) == F.col(bh)) & (F.col(k) == F.col(bk)), "left_anti").drop(h, k)
     return without_lines(kept, common)
 
 
@@ -173,7 +179,7 @@ WITH d AS (
 ), n AS (
   SELECT host, line, count(*) AS c FROM l GROUP BY 1, 2
 ), h AS (
-  SELECT host, greatest(20.0, count(DISTINCT text) * 0.02) AS most FROM d GROUP BY 1
+  SELECT host, sqrt(count(DISTINCT text)) AS most FROM d GROUP BY 1
 ), x AS (
   SELECT l.host, l.text, sum(len(string_split(line, ' '))) AS n_all, coalesce(sum(len(string_split(line, ' '))) FILTER (WHERE n.c > h.most), 0) AS n_removed
   FROM l JOIN n USING (host, line) JOIN h USING (host) GROUP BY 1, 2
@@ -182,6 +188,6 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws
   length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
   (len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws)) AS base_failed,
-  NOT (len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws)) AND NOT coalesce(n_removed > 0 AND 100 * n_removed >= 70 * n_all, false) AS kept
+  NOT (len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws)) AND NOT coalesce(n_removed > 0 AND 100 * n_removed >= 30 * n_all, false) AS kept
 FROM w LEFT JOIN rep USING (rid) LEFT JOIN x ON x.host = w.host AND x.text = w.text
 """

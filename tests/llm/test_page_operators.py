@@ -82,6 +82,21 @@ def test_snapshots_collapse(spark):
     assert H.formatted(df.limit(0)).count() == 0
 
 
+def test_odd_turns(spark):
+    """Ties in turn, repeated rows, null ids, long texts, clashing columns: against the SQL twin."""
+    import duckdb
+
+    rows = [(1, 0, "user", "b"), (1, 0, "bot", "a"), (1, 0, "bot", "a"), (2, None, None, None), (2, 1, "user", "é" * 100_000), (3, 0, "bot", "a")]
+    rows += [(None, 0, "user", "hi")] * 3 + [(None, 5, "user", "you"), (None, 1, None, None), (None, 0, "bot", "a"), (4, 0, "user", "you"), (5, 2, "user", "you")]
+    df = spark.createDataFrame([(*r, 0, "x", 7) for r in rows], "conv_id long, turn int, role string, text string, k int, hash_a string, n int")
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    key = lambda r: tuple(str(x) for x in r)
+    got = sorted((tuple(r) for r in H.formatted(df).collect()), key=key)
+    want = sorted(con.sql(H.ORACLE).fetchall(), key=key)
+    assert got == want and len(got) == 4
+
+
 @pytest.mark.parametrize(
     "url, host, path, rule",
     [
@@ -160,6 +175,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert W.round_trip(pages(spark, [])).count() == 0
 
 
+def test_many_records_are_read_by_many_tasks(spark, tmp_path):
+    df = spark.range(60, numPartitions=2).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.sha2((i + F.col("id") * 100_000).cast("string"), 256))).alias("html"))
+    index, folder = W.write_archives(df, f"file://{tmp_path}/c")
+    got = W.read_records(index, folder).select("page_id", F.spark_partition_id().alias("p"), F.length("payload").alias("n")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(60)) and {r["n"] for r in got} == {30_000 * 64} and len({r["p"] for r in got}) > 3
+
+
 def test_selected_records_only(spark, tmp_path):
     df = spark.range(200).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.repeat(F.col("id").cast("string"), 50).alias("html"))
     index, folder = W.write_archives(df, f"file://{tmp_path}/b")
