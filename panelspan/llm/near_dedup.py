@@ -4,16 +4,19 @@ One Arrow pass gives each document its distinct word shingles' count and 128-bit
 content key, its MinHash bands, and an odd sketch: the MinHash samples folded into
 a parity bitmap, so that the population count of the XOR of two sketches estimates
 how many samples differ. Documents with equal shingle sets collapse to one
-representative before anything is paired. Each band bucket links its members to its
-smallest one (never all pairs), the sketches discard dissimilar candidates, and what
-is left is confirmed on the full shingle sets. Of buckets whose members then still lie
-in different components, the members with a close sketch in another component are
-compared across components, block by block on full sets, so that no link is lost to
-the choice of the smallest member; only links that join components are emitted.
+representative before anything is paired. Each band bucket links its members to a
+centre (never all pairs), the sketches discard dissimilar candidates, and what is left
+is confirmed on the full shingle sets. Of buckets whose members then still lie in
+several components, those outside the largest one are compared on full sets with all
+members that the sketches leave open, in blocks, so that no link is lost to the choice
+of a centre; only links that join components are emitted. A bucket costs its members
+times those that remain outside its largest component.
 
 Defined results: a null or empty text has no shingles and links to nothing; equal
 rows are one vertex; a doc_id that repeats with different texts is one vertex too; a
-null doc_id gets its shingle count, but no component.
+null doc_id gets its shingle count, but no component; ties between centres go to the
+smaller doc_id; very long texts are read whole, in chunks of whole documents; columns
+other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
-from panelspan.llm.common import cut, ship
+from panelspan.llm.common import cut, settled, ship, unused
 
 SHINGLE = 5
 BANDS, ROWS = 30, 5
@@ -35,8 +38,8 @@ SKETCH_BITS = 1024
 #: at 150 samples that is over five standard deviations.
 SLACK = 0.2
 THRESHOLD = (80, 100)
-#: Bounds of a block of a bucket's members.
-BLOCK_ROWS, BLOCK_CHARS = 1024, 8_000_000
+#: Bounds of a block of a bucket's members; a group is two blocks.
+BLOCK_ROWS, BLOCK_CHARS = 512, 1_500_000
 
 _SIGNED = "n_shingles long, key_hi long, key_lo long, bands array<long>, sketch array<long>"
 
@@ -159,120 +162,154 @@ def components(edges: DataFrame, label: str = "near-links") -> DataFrame:
     return links.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(links.select("v", "v").distinct())
 
 
-def _close(a: str, b: str, limit: int):
-    """True where two sketches are close enough for a full comparison."""
-    total = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return total <= limit
+def _distance(a: str, b: str):
+    """How many bits two sketches differ in."""
+    return sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
 def _link_blocks(batches: Iterator[pa.RecordBatch], shingle: int, least: int, of: int) -> Iterator[pa.RecordBatch]:
-    """Groups of consecutive rows (bucket, lo, hi) to links that join their components."""
+    """Groups of consecutive rows (bucket, ask_block, block) to links that join their components."""
     held, key = [], None
     for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "lo", "hi")])
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "ask_block", "block")])
         edge = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
         for i, j in zip([0, *edge], [*edge, batch.num_rows], strict=True):
             if j == i:
                 continue
             now = tuple(keys[:, i])
             if key is not None and now != key:
-                yield _spanning(pa.Table.from_batches(held), key[1] != key[2], shingle, least, of)
+                yield _spanning(pa.Table.from_batches(held), shingle, least, of)
                 held = []
             key = now
             held.append(batch.slice(i, j - i))
     if held:
-        yield _spanning(pa.Table.from_batches(held), key[1] != key[2], shingle, least, of)
+        yield _spanning(pa.Table.from_batches(held), shingle, least, of)
 
 
-def _spanning(rows: pa.Table, two_blocks: bool, shingle: int, least: int, of: int) -> pa.RecordBatch:
-    """Confirmed links between members of different components, as few as join all that can be joined.
+def _spanning(rows: pa.Table, shingle: int, least: int, of: int) -> pa.RecordBatch:
+    """Confirmed links of asking rows to answering rows of other components, as few as join all that can be joined.
 
-    Intersections come from postings over the group's shingles: one bincount gives a
-    member's against all others. Only members outside the largest component ask.
+    Intersections come from postings over the answering rows' shingles: one bincount
+    gives an asking row's against all of them.
     """
-    ids, comp, block = (rows.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+    ids, comp, asks = (rows.column(c).to_numpy() for c in ("doc_id", "component", "asks"))
     buf, offsets = T.string_buffer(rows.column("text"))
     g, first = T.document_grams(T.words(buf, offsets), shingle)
-    sets = [np.unique(g[first[d] : first[d + 1]]) for d in range(len(ids))]
-    size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(ids)), size)
-    flat = np.concatenate(sets)
-    names, inverse = np.unique(flat, return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    posts, start = owner[order], np.searchsorted(inverse[order], np.arange(len(names) + 1))
-    at = np.concatenate([[0], np.cumsum(size)])
-    _, root = np.unique(comp, return_inverse=True)
-    root = root.copy()
-    asking = np.flatnonzero(root != np.argmax(np.bincount(root)))
+    answering, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+    sets = [np.unique(g[first[d] : first[d + 1]]) for d in answering]
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, T.U64)
+    order = np.argsort(flat, kind="stable")
+    names, start = np.unique(flat[order], return_index=True)
+    start = np.append(start, len(flat))
+    posts = np.repeat(np.arange(len(answering), dtype=np.int32), size)[order]
+    del flat, order, sets
+    root = np.unique(comp, return_inverse=True)[1].copy()
     a, b = [], []
-    for x in asking:
-        terms = inverse[at[x] : at[x + 1]]
-        inter = np.bincount(np.concatenate([posts[start[t] : start[t + 1]] for t in terms]), minlength=len(ids))
-        linked = (of * inter >= least * (size[x] + size - inter)) & (root != root[x])
-        if two_blocks:
-            linked &= block != block[x]
+    for x in asking if len(names) else []:
+        own = np.unique(g[first[x] : first[x + 1]])
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        at = at[names[at] == own]
+        inter = np.bincount(np.concatenate([posts[start[t] : start[t + 1]] for t in at]), minlength=len(answering)) if len(at) else np.zeros(len(answering), np.int64)
+        linked = (of * inter >= least * (len(own) + size - inter)) & (root[answering] != root[x])
         while linked.any():
-            y = int(np.argmax(linked))
+            y = answering[int(np.argmax(linked))]
             a.append(min(ids[x], ids[y]))
             b.append(max(ids[x], ids[y]))
             root[root == root[y]] = root[x]
-            linked &= root != root[x]
+            linked &= root[answering] != root[x]
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def block_links(open_: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int], rows: int = BLOCK_ROWS, chars: int = BLOCK_CHARS) -> DataFrame:
-    """Links (a, b) that join the components met in each bucket of open_ (bucket, doc_id, component).
+def block_links(asking: DataFrame, answering: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int], rows: int = BLOCK_ROWS, chars: int = BLOCK_CHARS) -> DataFrame:
+    """Links (a, b) that join the components met in each bucket; both sides are (bucket, doc_id, component).
 
-    A bucket is split into blocks of bounded rows and characters, and each pair of its
-    blocks is one group, so a bucket of any size is spread over many tasks.
+    Every asking member meets every answering one of its bucket. Each side is split into
+    blocks of bounded rows and characters, and a block of one with a block of the other
+    is one group: a bucket of any size is spread over many tasks, and while its asking
+    members fill one block, its answering members are sent once.
     """
-    sized = open_.join(texts.select("doc_id", F.length("text").alias("n_chars")), "doc_id")
-    total = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n_chars") / chars), F.lit(1)).cast("int").alias("n_blocks"))
-    placed = open_.join(total, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "n_blocks").cast("int"))
-    keyed = placed.select("bucket", "doc_id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    keyed = keyed.select("bucket", "doc_id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    full = keyed.join(texts, "doc_id").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "doc_id")
+    length = texts.select("doc_id", F.length("text").alias("n_chars"))
+
+    def placed(side: DataFrame, block: str) -> tuple[DataFrame, DataFrame]:
+        total = side.join(length, "doc_id").groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n_chars") / chars), F.lit(1)).cast("int").alias(f"n_{block}"))
+        return side.join(total, "bucket").withColumn(block, F.pmod(F.xxhash64("doc_id"), f"n_{block}").cast("int")), total
+
+    asks, n_asks = placed(asking, "ask_block")
+    answers, n_answers = placed(answering, "block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = asks.join(n_answers, "bucket").select("bucket", "doc_id", "component", F.lit(True).alias("asks"), "ask_block", every("n_block").alias("block"))
+    answers = answers.join(n_asks, "bucket").select("bucket", "doc_id", "component", F.lit(False).alias("asks"), every("n_ask_block").alias("ask_block"), "block")
+    key = ("bucket", "ask_block", "block")
+    full = asks.unionByName(answers).join(texts, "doc_id").repartition(*key).sortWithinPartitions(*key, "asks", "doc_id")
     return full.mapInArrow(lambda it: _link_blocks(it, shingle, *threshold), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
-    ship(docs.sparkSession)
+def _mixed(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(bucket, doc_id, component, top, sketch) of the buckets whose members are in several components; top is the one with most."""
+    named = members.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("bucket").agg(F.max_by("component", "n").alias("top"), F.count("*").alias("k")).filter("k > 1").select("bucket", "top")
+    return cut(named.join(top, "bucket").join(sketches, "doc_id"), "near-mixed")
+
+
+def star_links(reps: DataFrame, members: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """Confirmed links of each bucket's centre to its other members.
+
+    The centre is the member whose buckets are fullest, the most typical of a group of copies: it is similar to more
+    of them than an arbitrary one, which may itself be far edited.
+    """
+    degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    centres = members.join(degree, "doc_id").groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("doc_id").alias("centre")))["centre"].alias("centre"))
+    stars = members.join(centres, "bucket").filter("doc_id <> centre").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
+    sketches, limit = reps.select("doc_id", "sketch"), sketch_limit(threshold[0] / threshold[1] - SLACK)
+    right, left = sketches.withColumnRenamed("doc_id", "b").alias("r"), sketches.withColumnRenamed("doc_id", "a").alias("l")
+    close = stars.join(right, "b").join(left, "a").filter(_distance("l", "r") <= limit).select("a", "b")
+    return confirmed(cut(close, "near-pairs"), reps, docs, shingle, threshold)
+
+
+def open_links(mixed: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """Every link that still joins components in a bucket: the members outside its top component against all that are close to them."""
     limit = sketch_limit(threshold[0] / threshold[1] - SLACK)
+    near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & (_distance("l", "r") <= limit)
+    asking = cut(mixed.filter("component <> top").alias("l").join(mixed.alias("r"), near, "left_semi").select("bucket", "doc_id", "component", "sketch"), "near-asking")
+    answering = cut(mixed.alias("l").join(asking.alias("r"), near, "left_semi").select("bucket", "doc_id", "component"), "near-answering")
+    texts = texts_of(asking.select("doc_id").union(answering.select("doc_id")).distinct(), reps, docs)
+    return block_links(asking.drop("sketch"), answering, texts, shingle, threshold)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) for every row of docs (doc_id, text); text_key is the text's hash."""
+    spark = docs.sparkSession
+    ship(spark)
     signed = cut(signatures(docs, shingle), "near-signed")
     groups = signed.filter("n_shingles > 0").groupBy("key_hi", "key_lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
     groups = cut(groups.filter("rep IS NOT NULL"), "near-groups")
-    # a representative's row: doc_id alone is nearly unique, so this join has no hot key
-    chosen = groups.select(F.col("rep").alias("doc_id"), "key_hi", "key_lo", "n_shingles").distinct()
-    reps = cut(signed.join(chosen, ["doc_id", "key_hi", "key_lo", "n_shingles"]).dropDuplicates(["doc_id", "key_hi", "key_lo"]).select("doc_id", "text_key", "bands", "sketch"), "near-reps")
-
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select("bucket", "least")
-    members = cut(buckets.join(shared, "bucket"), "near-buckets")
-    sketches = reps.select("doc_id", "sketch")
-    stars = members.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    left = sketches.withColumnRenamed("doc_id", "a").alias("l")
-    right = sketches.withColumnRenamed("doc_id", "b").alias("r")
-    close = stars.join(right, "b").join(left, "a").filter(_close("l", "r", limit)).select("a", "b")
-    links = cut(confirmed(cut(close, "near-pairs"), reps, docs, shingle, threshold), "near-confirmed")
-    labels = components(links)
-
-    # what a bucket's smallest member didn't join may still join each other across components
-    named = members.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    mixed = cut(named.join(mixed, "bucket").join(sketches, "doc_id"), "near-mixed")
-    near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & _close("l", "r", limit)
-    open_ = cut(mixed.alias("l").join(mixed.alias("r"), near, "left_semi").select("bucket", "doc_id", "component"), "near-open")
-    if open_.take(1):
-        more = cut(block_links(open_, texts_of(open_.select("doc_id").distinct(), reps, docs), shingle, threshold), "near-confirmed")
-        if more.take(1):
-            labels = components(links.union(more))
 
+    def linked() -> DataFrame:
+        # a representative's row: doc_id alone is nearly unique, so this join has no hot key
+        chosen = groups.select(F.col("rep").alias("doc_id"), "key_hi", "key_lo", "n_shingles").distinct()
+        reps = cut(signed.join(chosen, ["doc_id", "key_hi", "key_lo", "n_shingles"]).dropDuplicates(["doc_id", "key_hi", "key_lo"]).select("doc_id", "text_key", "bands", "sketch"), "near-reps")
+        sketches = reps.select("doc_id", "sketch")
+        buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
+        shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).filter("least <> most").select("bucket", "n")
+        members = cut(buckets.join(shared, "bucket"), "near-buckets")
+        links = cut(star_links(reps, members, docs, shingle, threshold), "near-confirmed")
+        labels = components(links)
+        # what a bucket's centre didn't join may still join each other across components
+        mixed = _mixed(members, labels, sketches)
+        if mixed.take(1):
+            more = cut(open_links(mixed, reps, docs, shingle, threshold), "near-confirmed")
+            if more.take(1):
+                labels = components(links.union(more))
+        return labels
+
+    labels = settled(spark, "near-labels", linked)
     named_groups = groups.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key_hi", "key_lo", "n_shingles", F.coalesce("component", "rep").alias("component"))
     return (
-        signed.select("doc_id", "n_shingles", "key_hi", "key_lo")
+        signed.select("doc_id", "text_key", "n_shingles", "key_hi", "key_lo")
         .join(named_groups, ["key_hi", "key_lo", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+        .select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
@@ -280,14 +317,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs with one document of each group of near copies, columns unchanged.
 
-    Of rows with the same doc_id one stays; rows with a null doc_id all stay.
+    Of rows with the same doc_id and text the one whose other columns are the least as
+    JSON stays; unlike texts under one doc_id are documents of their own, which stay or
+    go together; rows with a null doc_id all stay.
     """
-    verdict = near_duplicates(docs, shingle, threshold).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
-    away = cut(verdict.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("__id"), (F.col("kept")).alias("__one")), "near-away")
-    rest = docs.join(away, F.col("doc_id") == F.col("__id"), "left_anti")
-    if not away.filter("__one").take(1):
+    id_, key = unused(docs.columns, "__id"), unused(docs.columns, "__key")
+    verdict = near_duplicates(docs, shingle, threshold).filter("doc_id IS NOT NULL").groupBy("doc_id", "text_key").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    away = cut(verdict.filter("NOT kept OR n > 1").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), "kept"), "near-away")
+    same = (docs["doc_id"].cast("long") == away[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == away[key])
+    rest = docs.join(away, same, "left_anti")
+    repeated = away.filter("kept").drop("kept")
+    if not repeated.take(1):
         return rest
-    return rest.unionByName(docs.join(away.filter("__one"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))
+    again = docs.join(repeated, (docs["doc_id"].cast("long") == repeated[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == repeated[key]))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    one = again.groupBy(id_, key).agg(F.min_by(row, F.to_json(row)).alias("r"))
+    return rest.unionByName(one.select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
 
 
 ORACLE = r"""

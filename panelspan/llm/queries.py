@@ -10,7 +10,7 @@ from panelspan.llm.common import remainder, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("text_key")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,14 +81,36 @@ def test_links_that_the_smallest_member_lacks(spark):
 def test_blocks_of_any_size_agree(spark):
     docs = list(enumerate(family(9, 60, 9, 150)))
     texts = frame(spark, docs).select("doc_id", "text")
-    open_ = texts.select(F.lit(1).cast("long").alias("bucket"), "doc_id", F.col("doc_id").alias("component"))
+    all_ = texts.select(F.lit(1).cast("long").alias("bucket"), "doc_id", F.col("doc_id").alias("component"))
     want = brute(docs, 4)
-    for rows in (1024, 7):
-        links = N.block_links(open_, texts, 4, (80, 100), rows=rows)
+    for rows, chars in ((1024, 10**7), (7, 10**7), (1024, 5000)):
+        links = N.block_links(all_, all_, texts, 4, (80, 100), rows=rows, chars=chars)
         label = {r["doc_id"]: r["component"] for r in N.components(links).collect()}
         assert {d: label.get(d, d) for d, _ in docs} == {d: c for d, (_, c) in want.items()}
 
 
+def test_unlike_texts_under_one_id_both_stay(spark):
+    say = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    docs = [(7, say("a")), (7, say("b")), (7, say("b")), (8, say("a")), (9, None), (9, "")]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in N.deduplicate(frame(spark, docs)).collect())
+    assert kept == [(7, say("a")), (7, say("b")), (9, "")]
+
+
+def test_band_recall_at_the_threshold():
+    """Measured over pairs of similarity 0.8: the share that shares a band."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(400):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(90 + 3)]
+        # 80 of 90 + 10 shingles are shared: ten at the end are replaced on one side, ten more on the other
+        pairs += [" ".join(base[:83] + [f"x{rng.randrange(10**7)}" for _ in range(10)]), " ".join(base[:83] + [f"y{rng.randrange(10**7)}" for _ in range(10)])]
+    batch = pa.record_batch({"doc_id": pa.array(range(800)), "text_key": pa.array([0] * 800), "text": pa.array(pairs)})
+    bands = [set(r["bands"]) for r in pa.Table.from_batches(N._sign(iter([batch]), 4)).to_pylist()]
+    assert sum(bool(bands[i] & bands[i + 1]) for i in range(0, 800, 2)) >= 399
+
+
 def test_repeated_rows_nulls_and_empty_tables(spark):
     docs = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (3, None), (4, "")]
     out = N.near_duplicates(frame(spark, docs), 4).collect()
