@@ -1,8 +1,9 @@
 """SentencePiece encoding by forward filtering and backward sampling, and lossless decoding.
 
 A text, with one space put before it, is cut into runs of spaces with the characters
-that follow; no piece crosses such a cut, so the piece lattice of a text is the product
-of the small lattices of its segments. Forward filtering gives each lattice node the
+that follow, and runs of over SEGMENT characters are cut there too; no piece crosses
+such a cut, so the piece lattice of a text is the product of the small lattices of its
+segments, and a text of any length is sampled a bounded number of segments at a time. Forward filtering gives each lattice node the
 total weight of the paths to it; backward sampling then walks from the end, picking
 each incoming piece with its share of that weight. A chunk's distinct segments
 build their lattices together, and all its segments walk back together, in numpy.
@@ -14,7 +15,8 @@ Characters without a piece of their own become byte pieces; so does a literal U+
 which stands for a space inside pieces. Decoding therefore gives back the text exactly.
 
 Defined results: a null text has null ids, no pieces, and counts as lossless; an empty
-text has none; rows with equal keys and texts get equal ids; a null key is one seed.
+text has none; rows with equal keys and texts get equal ids; a null key is one seed;
+the kept columns may have any names but the three that are added.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.5
 SEED = 17
 #: Bytes of text whose lattices are built together.
-CHUNK = 3 << 18
+CHUNK = 1 << 18
+#: Characters of the longest segment, spaces and others apart.
+SEGMENT = 1024
 _SPACE = "▁"
 #: Stands for a literal U+2581 in a text; no piece has it.
 _LITERAL = 0x110000
@@ -71,7 +75,9 @@ class Pieces:
         weight = -alpha * np.log(np.arange(len(order)) + 2.0)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k, _) in enumerate(vocabulary) if k == "byte"}
         self.byte_weight = -alpha * np.log(len(vocabulary) + 2.0)
-        self.pattern = r" *[^ ]+| +" if any("\n" in vocabulary[i][0] for i in order) else r" *[^ \n]+|\n| +"
+        run = f"{{1,{SEGMENT}}}"
+        plain = f" {{0,{SEGMENT}}}[^ ]{run}| {run}"
+        self.pattern = plain if any("\n" in vocabulary[i][0] for i in order) else plain.replace("[^ ]", "[^ \n]") + "|\n"
         self.size = len(vocabulary)
         raw = [p.replace(_SPACE, " ").encode() if k == "normal" else bytes([int(p[3:5], 16)]) if k == "byte" else b"" for p, k, _ in vocabulary]
         self.piece_len = np.array([len(r) for r in raw], np.int64)
@@ -186,19 +192,30 @@ class Lattices:
         self.cdf, self.prev, self.arc = node + share, prev, arc
         self.starts, self.ends = base, base + size
 
-    def segments(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(segment number of each occurrence, first occurrence of each text), with the segments' lattices built."""
-        found = [self.pattern.findall(" " + t) if t else [] for t in texts]
+    def segments(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(segment number of each occurrence, first occurrence of each text) of the texts' segments, with their lattices built."""
         known: dict[str, int] = {}
         at = [known.setdefault(s, len(known)) for f in found for s in f]
         if known:
             self.build(list(known))
         return np.array(at, np.int64), np.concatenate([[0], np.cumsum([len(f) for f in found])])
 
-    def sample(self, seg: np.ndarray, first: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, first id of each text) of one segmentation of each text."""
+    def runs(self, text: str, most: int) -> Iterator[list[str]]:
+        """A text's segments, some at a time: as many as have about most characters."""
+        held, size = [], 0
+        for m in self.pattern.finditer(" " + text):
+            held.append(m[0])
+            size += len(m[0])
+            if size >= most:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def sample(self, seg: np.ndarray, first: np.ndarray, seeds: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first id of each text) of one segmentation of each text; before: how many segments of the text came earlier."""
         size = np.diff(first)
-        place = np.arange(len(seg)) - np.repeat(first[:-1], size)
+        place = before + np.arange(len(seg)) - np.repeat(first[:-1], size)
         key = T.mix(np.repeat(seeds, size) + place.astype(T.U64) * T.U64(0x9E3779B97F4A7C15))
         if not len(seg):
             return np.zeros(0, np.int32), np.zeros(len(first), np.int64)
@@ -236,17 +253,32 @@ class Lattices:
         ids[wide] = flat[begin[ids[wide] - self.size] + inner[wide]]
         return ids.astype(np.int32), out_at[bounds]
 
-    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, offsets) of the texts that the ids spell, without the space put before each."""
+    def decode(self, ids: np.ndarray, first: np.ndarray, lead: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of the texts that the ids spell, without the space put before each; lead 0: none was."""
         width = self.piece_len[ids]
         at = np.concatenate([[0], np.cumsum(width)])
         spot = np.arange(at[-1]) + np.repeat(self.piece_first[ids] - at[:-1], width)
         raw = self.piece_bytes[spot]
         off = at[first]
+        if not lead:
+            return raw, off
         keep = np.ones(len(raw), bool)
         keep[off[:-1][np.diff(off) > 0]] = False
         return raw[keep], np.concatenate([[0], np.cumsum(np.maximum(0, np.diff(off) - 1))])
 
+    def encode_long(self, text: str, raw: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, bool]:
+        """(ids, whether they spell the bytes raw) of one text, some segments at a time."""
+        parts, same, before, at = [], True, 0, 0
+        for held in self.runs(text, CHUNK):
+            seg, first = self.segments([held])
+            ids, _ = self.sample(seg, first, seed, before)
+            back, _ = self.decode(ids, np.array([0, len(ids)]), int(before == 0))
+            same = same and np.array_equal(back, raw[at : at + len(back)])
+            parts.append(ids)
+            before += len(held)
+            at += len(back)
+        return np.concatenate(parts), same and at == len(raw)
+
 
 def _encode(batches: Iterator[pa.RecordBatch], shared, seed: int) -> Iterator[pa.RecordBatch]:
     lat = Lattices(shared.value)
@@ -256,13 +288,16 @@ def _encode(batches: Iterator[pa.RecordBatch], shared, seed: int) -> Iterator[pa
         seeds = T.mix(batch.column("row_seed").to_numpy().view(T.U64) + T.U64(seed))
         absent = column.is_null().to_numpy(zero_copy_only=False)
         for i, j, b, o in T.chunks(buf, offsets, CHUNK):
-            texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
-            ids, first = lat.sample(*lat.segments(texts), seeds[i:j])
-            back, off = lat.decode(ids, first)
-            if np.array_equal(off, o) and np.array_equal(back, b):
-                same = np.ones(j - i, bool)
+            if len(b) > 2 * CHUNK:  # one long text
+                ids, whole = lat.encode_long(column[i].as_py(), b, seeds[i:j])
+                first, same = np.array([0, len(ids)]), np.array([whole])
             else:
-                same = np.array([np.array_equal(back[off[k] : off[k + 1]], b[o[k] : o[k + 1]]) for k in range(j - i)], bool)
+                ids, first = lat.sample(*lat.segments([lat.pattern.findall(" " + t) if t else [] for t in column.slice(i, j - i).to_pylist()]), seeds[i:j])
+                back, off = lat.decode(ids, first)
+                if np.array_equal(off, o) and np.array_equal(back, b):
+                    same = np.ones(j - i, bool)
+                else:
+                    same = np.array([np.array_equal(back[off[k] : off[k + 1]], b[o[k] : o[k + 1]]) for k in range(j - i)], bool)
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=pa.array(absent[i:j]))
             names = [c for c in batch.schema.names if c not in ("text", "row_seed")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), lists, pa.array(np.diff(first)), pa.array(same)], names=[*names, "ids", "n_pieces", "lossless"])
