@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspan.llm import decontaminate, near_dedup, piece_sampling, quality_rules, toxicity
-from panelspan.llm.common import cut, table
+from panelspan.llm.common import settled, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage applied to what the one before it kept; a stage's own tables go when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = settled(spark, f"stage-{name.replace(' ', '-')}", lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
     return docs
