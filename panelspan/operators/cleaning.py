@@ -16,28 +16,43 @@ def present(c: str) -> Column:
     return F.coalesce((x != "") & ~x.isin("NaN", "nan", "-"), F.lit(False))
 
 
+def _differs(x: Column) -> Column:
+    """More than one distinct value: its least isn't its greatest, which needs no distinct count."""
+    return F.coalesce(F.min(x) != F.max(x), F.lit(False))
+
+
+def _raw(c: str) -> Column:
+    return F.when(present(c), F.trim(F.col(c).cast("string")))
+
+
 def merge_best_value(rows: DataFrame, keys: list[str], columns: list[str], order: str, counted: list[str] | None = None) -> DataFrame:
     """One row a key: each column's value from the row with most cells present, the earliest on ties.
 
     counted: the columns whose presence ranks rows (default: columns). Adds
     row_conflict_count, columns with more than one distinct raw string, and source_row_count.
-    One aggregation with map-side combining, and no sort of the groups.
+    One aggregation with partial results before its one shuffle.
     """
     filled = sum((present(c).cast("int") for c in counted or columns), F.lit(0))
-    ranked = rows.withColumn("__rank", F.struct((-filled).alias("f"), F.col(order).alias("o")))
-    best = [F.min_by(F.when(present(c), F.col(c)), F.when(present(c), F.col("__rank"))).alias(c) for c in columns]
-    conflict = sum((F.when(F.count_distinct(F.when(present(c), F.trim(F.col(c).cast("string")))) > 1, 1).otherwise(0) for c in columns), F.lit(0))
-    return ranked.groupBy(*keys).agg(*best, conflict.cast("int").alias("row_conflict_count"), F.count("*").alias("source_row_count"))
+    rank = F.struct((-filled).alias("f"), F.col(order).alias("o"))
+    best = [F.min(F.when(present(c), F.struct(rank.alias("r"), F.col(c).alias("v"))))["v"].alias(c) for c in columns]
+    conflict = sum((_differs(_raw(c)).cast("int") for c in columns), F.lit(0))
+    return rows.groupBy(*keys).agg(*best, conflict.cast("int").alias("row_conflict_count"), F.count("*").alias("source_row_count"))
 
 
 def merge_conflicts(rows: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
-    """(keys, column_name, kept_value, other_value): one row for each losing distinct raw value, in value order."""
+    """(keys, column_name, kept_value, other_value): one row for each losing distinct raw value, in value order.
+
+    Only rows of keys that have a conflict are taken apart, and of those only the columns in conflict.
+    """
     filled = sum((present(c).cast("int") for c in columns), F.lit(0))
-    cells = rows.select(*keys, (-filled).alias("__f"), F.col(order).alias("__o"), F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.when(present(c), F.trim(F.col(c).cast("string"))) for c in columns]))).alias("column_name", "value"))
-    cells = cells.filter("value IS NOT NULL")
-    per = cells.groupBy(*keys, "column_name").agg(F.min_by("value", F.struct("__f", "__o")).alias("kept_value"), F.collect_set("value").alias("values"))
+    names = F.filter(F.array(*[F.when(_differs(_raw(c)), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
+    odd = rows.groupBy(*keys).agg(names.alias("__names")).filter(F.size("__names") > 0)
+    cell = F.coalesce(*[F.when(F.col("column_name") == c, _raw(c)) for c in columns])
+    cells = rows.join(odd, keys).select(*rows.columns, F.explode("__names").alias("column_name"))
+    cells = cells.select(*keys, "column_name", (-filled).alias("__f"), F.col(order).alias("__o"), cell.alias("value")).filter("value IS NOT NULL")
+    per = cells.groupBy(*keys, "column_name").agg(F.min(F.struct("__f", "__o", "value"))["value"].alias("kept_value"), F.collect_set("value").alias("values"))
     losing = F.array_sort(F.array_except("values", F.array("kept_value")))
-    return per.filter(F.size("values") > 1).select(*keys, "column_name", "kept_value", F.explode(losing).alias("other_value"))
+    return per.select(*keys, "column_name", "kept_value", F.explode(losing).alias("other_value"))
 
 
 def normalised(c: str, kind: str) -> Column:
@@ -46,7 +61,7 @@ def normalised(c: str, kind: str) -> Column:
         x = F.trim(F.col(c))
         return F.when(x != "", x)
     x = F.col(c).cast("double")
-    return F.bround(F.when(~F.isnan(x), x), 12).cast("string")
+    return F.bround(F.when(~F.isnan(x), x), 12)
 
 
 def resolve_duplicates(rows: DataFrame, keys: list[str], payload: list[str], order: list[str]) -> DataFrame:
@@ -62,13 +77,14 @@ def resolve_duplicates(rows: DataFrame, keys: list[str], payload: list[str], ord
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    first = F.struct(*[F.col(o) for o in order])
-    aggs = [F.count("*").alias("duplicate_count")]
+    # one struct holds the order and the whole payload, so the first row is one minimum
+    first = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], *[F.col(c).alias(f"v{i}") for i, c in enumerate(payload)])
+    aggs = [F.count("*").alias("duplicate_count"), F.min(first).alias("__first")]
     for c in payload:
-        aggs.append(F.min_by(F.struct(F.col(c).alias("v")), first)["v"].alias(c))
-        aggs.append((F.count_distinct(normalised(c, kinds[c])) > 1).alias(f"__x_{c}"))
-        aggs.append((F.count_distinct(F.col(c).cast("string")) + F.max(F.col(c).isNull().cast("int")) > 1).alias(f"__r_{c}"))
-    out = rows.filter(whole).groupBy(*keys).agg(*aggs)
+        raw = F.col(c) if kinds[c] in ("tinyint", "smallint", "int", "bigint", "boolean", "string") else F.col(c).cast("string")
+        some = (F.count(c) > 0) & (F.count(c) < F.count("*"))
+        aggs += [_differs(normalised(c, kinds[c])).alias(f"__x_{c}"), (_differs(raw) | some).alias(f"__r_{c}")]
+    out = rows.filter(whole).groupBy(*keys).agg(*aggs).select("*", *[F.col(f"__first.v{i}").alias(c) for i, c in enumerate(payload)])
     pick = lambda mark: F.filter(F.array(*[F.when(mark(c), F.lit(c)) for c in payload]), lambda x: x.isNotNull())
     out = out.withColumn("conflict_columns", pick(lambda c: F.col(f"__x_{c}"))).withColumn("normalized_columns", pick(lambda c: F.col(f"__r_{c}") & ~F.col(f"__x_{c}")))
     kind = F.when(F.col("duplicate_count") == 1, None).when(F.size("conflict_columns") > 0, "conflict").when(F.size("normalized_columns") > 0, "normalized_equal").otherwise("identical")
@@ -94,6 +110,11 @@ def expand_site_effects(effects: DataFrame, panel_keys: DataFrame) -> DataFrame:
     return panel_keys.select("dataset", "turbine_id", "timestamp").distinct().join(effects, ["dataset", "timestamp"])
 
 
+def effects_for_entities(effects: DataFrame, entities: DataFrame) -> DataFrame:
+    """Site effects (dataset, …) for every registered entity (dataset, turbine_id), whether the panel has it then or not."""
+    return effects.join(entities.select("dataset", "turbine_id").distinct(), "dataset")
+
+
 def aggregate_effects(effects: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Distinct columns and flags of each key, in order of first sight."""
     w = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "conflict_columns", "flag")))
