@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from panelspan.functions import scalars as M
 from panelspan.functions import timeutil as T
 
+#: Distinct category values that may become columns.
+MAX_CATEGORIES = 500
+
 
 def effective_ends(events: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     """events (keys, start_ts, end_ts, …) with effective_end: the end if after the start, else the
-    next start of the key if later, else the key's last bound rounded up plus one step."""
-    w = Window.partitionBy(*keys).orderBy("start_ts")
+    next later start of the key, else the key's last bound rounded up plus one step.
+
+    The next later start is taken over times, not rows, so events that start together all get the same one.
+    """
+    # from the latest start backwards, so that the frame only grows
+    w = Window.partitionBy(*keys).orderBy(T.micros("start_ts").desc())
     bound = F.max(F.coalesce("end_ts", "start_ts")).over(Window.partitionBy(*keys))
-    following = F.lead("start_ts").over(w)
+    following = F.min("start_ts").over(w.rangeBetween(Window.unboundedPreceding, -1))
     return events.withColumn(
         "effective_end",
         F.when(F.col("end_ts") > F.col("start_ts"), F.col("end_ts")).when(following > F.col("start_ts"), following).otherwise(T.plus_minutes(T.ceil_to(bound, minutes), minutes)),
@@ -45,7 +52,8 @@ def event_features(
     The grid runs from the floor of a key's first start to the ceiling of its last effective
     end. aliases maps sanitised statuses to flag names, all of which are always there;
     categorical maps columns to name prefixes, one flag for each distinct value, named once
-    over all keys. The distinct values are the only thing collected: they are columns.
+    over all keys. The distinct values are the only thing collected: they are columns, and
+    more than MAX_CATEGORIES of them are an error, not a plan.
     """
     ready = effective_ends(events, keys, minutes)
     named = {}
@@ -55,7 +63,10 @@ def event_features(
         hit = M.sanitize(alias_column) == status
         conditions[f"{prefix}_{name}"] = conditions[f"{prefix}_{name}"] | hit if f"{prefix}_{name}" in conditions else hit
     for column, name_prefix in (categorical or {}).items():
-        for value, name in M.feature_names(events, column, name_prefix).orderBy("name").collect():
+        found = M.feature_names(events, column, name_prefix).orderBy("name").limit(MAX_CATEGORIES + 1).collect()
+        if len(found) > MAX_CATEGORIES:
+            raise ValueError(f"{column} has more than {MAX_CATEGORIES} values: too many for columns")
+        for value, name in found:
             named[name] = F.trim(F.col(column)) == value
     conditions |= named
     aggs = [F.count("*").cast("int").alias(f"{prefix}_active_count"), F.sum("overlap_seconds").cast("int").alias(f"{prefix}_total_overlap_seconds")]

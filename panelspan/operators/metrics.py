@@ -30,6 +30,7 @@ def error_aggregates(rated: Column | None = None) -> list[Column]:
 
 
 def errors(predictions: DataFrame, keys: list[str], rated: Column | None = None) -> DataFrame:
+    """One row for each combination of keys that has predictions; without any there is no row."""
     return predictions.groupBy(*keys).agg(*error_aggregates(rated))
 
 
@@ -132,9 +133,30 @@ def rank_of(column: str, order: list[str]) -> Column:
 
 
 def canonical_order(rows: DataFrame, orders: dict[str, list[str]], then: tuple[str, ...] = ()) -> DataFrame:
-    """rows with sort_position, their place by the ranks of the listed columns and then by plain columns, nulls first."""
-    by = [rank_of(c, o) for c, o in orders.items()] + [F.col(c) for c in orders] + [F.col(c).asc_nulls_first() for c in then]
-    return rows.withColumn("sort_position", F.row_number().over(Window.orderBy(*by)))
+    """rows with sort_position, their place by the ranks of the listed columns and then by plain columns, nulls first.
+
+    The first listed column splits the rows into groups that are ordered apart, each in a task of its own, and the
+    counts of the groups before it give each one its offset.
+    """
+    names = list(orders)
+    lead = names[0]
+    by = [rank_of(c, orders[c]) for c in names[1:]] + [F.col(c).asc_nulls_first() for c in names[1:]] + [F.col(c).asc_nulls_first() for c in then]
+    groups = rows.groupBy(F.col(lead).alias("__lead")).agg(F.count("*").alias("__n")).withColumn("__rank", rank_of("__lead", orders[lead]))
+    before = groups.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__rank", F.col("__lead").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.withColumn("__p", F.row_number().over(Window.partitionBy(lead).orderBy(*(by or [F.lit(1)]))))
+    out = placed.join(before.select("__lead", "__before"), F.col(lead).eqNullSafe(F.col("__lead")))
+    return out.withColumn("sort_position", (F.col("__p") + F.col("__before")).cast("int")).drop("__p", "__lead", "__before")
+
+
+def history_order(rows: DataFrame, orders: dict[str, list[str]], epoch: str = "epoch") -> DataFrame:
+    """Training history in its canonical order: by ranked columns, then by epoch."""
+    return canonical_order(rows, orders, (epoch,))
+
+
+def search_ranking(rows: DataFrame, keys: list[str], metrics: list[str], name: str) -> DataFrame:
+    """Candidates of a search ranked within keys, all metrics ascending, nulls last, the candidate's name settling ties."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(m).asc_nulls_last() for m in metrics], name)
+    return rows.withColumn("rank", F.row_number().over(w))
 
 
 def top_per_group(rows: DataFrame, keys: list[str], by: list[Column], k: int = 1) -> DataFrame:

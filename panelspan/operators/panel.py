@@ -6,6 +6,8 @@ with is_observed, a target and pipe-separated quality_flags.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,16 @@ ENTITY = "turbine_id"
 def fill_grid(obs: DataFrame, entities: DataFrame | None, minutes: int, layout: str = "farm") -> DataFrame:
     """Left join of the regular grid with the observations (dataset, turbine_id, timestamp, target_kw, quality_flags?, …).
 
-    layout 'farm': every registered entity over the data's whole time span; 'entity': each
-    over its own. Rows off the grid vanish; duplicate keys multiply.
+    layout 'farm': every registered entity over its dataset's whole time span; 'entity': each
+    over its own. entities: (dataset, turbine_id), or (turbine_id) where obs has one dataset;
+    those of obs by default. Rows off the grid vanish; duplicate keys multiply.
     """
     if layout == "farm":
         bounds = obs.groupBy("dataset").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
-        known = entities if entities is not None else obs.select(ENTITY).distinct()
-        # the bounds are one row a dataset and the entity list is a registry, so the product is the grid itself
-        axis = bounds.select("dataset", F.explode(T.grid("lo", "hi", minutes)).alias("timestamp")).crossJoin(known.select(ENTITY))
+        known = (entities if entities is not None else obs).select(*[c for c in ("dataset", ENTITY) if entities is None or c in entities.columns]).distinct()
+        # the bounds are one row a dataset and the entity list is a registry: with the axis they make the grid itself
+        owners = bounds.join(known, "dataset") if "dataset" in known.columns else bounds.crossJoin(known)
+        axis = owners.select("dataset", ENTITY, F.explode(T.grid("lo", "hi", minutes)).alias("timestamp"))
     else:
         bounds = obs.groupBy("dataset", ENTITY).agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
         axis = bounds.select("dataset", ENTITY, F.explode(T.grid("lo", "hi", minutes)).alias("timestamp"))
@@ -165,6 +169,36 @@ def attach_site_series(panel: DataFrame, site: DataFrame, local: DataFrame | Non
     return out.withColumns(fills) if fills else out
 
 
+def time_slice(panel: DataFrame, start=None, end=None, entity: str | None = None) -> DataFrame:
+    """Rows of a closed time interval, open where no bound is given, and of one entity if named; both reach a Parquet scan as filters."""
+    out = panel
+    for bound, inside in ((start, lambda t, b: t >= b), (end, lambda t, b: t <= b)):
+        if bound is not None:
+            out = out.filter(inside(F.col("timestamp"), F.lit(bound).cast("timestamp_ntz")))
+    return out if entity is None else out.filter(F.col(ENTITY) == entity)
+
+
+def time_bounds(frames: list[DataFrame], time: str = "timestamp") -> DataFrame:
+    """(first, last) over several tables: each gives its own bounds first, so only those meet."""
+    each = [f.agg(F.min(time).alias("first"), F.max(time).alias("last")) for f in frames]
+    return reduce(lambda a, b: a.union(b), each).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def to_interval_end(rows: DataFrame, keys: list[str], minutes: int, order: list[str], time: str = "timestamp") -> DataFrame:
+    """Rows labelled by the start of their interval, relabelled by its end; the first of each key and label stays."""
+    moved = rows.withColumn(time, T.plus_minutes(time, minutes))
+    w = Window.partitionBy(*keys, time).orderBy(*order)
+    return moved.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def per_entity(panel: DataFrame, frame_to_frame, schema: str) -> DataFrame:
+    """A Python callback for each entity's frame, in time order: for what no expression says.
+
+    One entity is held by one task, so its frame must fit a worker; prefer expressions.
+    """
+    return panel.groupBy("dataset", ENTITY).applyInPandas(lambda f: frame_to_frame(f.sort_values("timestamp", kind="stable")), schema)
+
+
 def joined_series(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """All keys of two series with the columns of both: the union of the keys, then left joins."""
     axis = first.select(*keys).union(second.select(*keys)).distinct()

@@ -79,9 +79,13 @@ def known_future(panel: DataFrame) -> DataFrame:
     return axis.select("dataset", "timestamp", *[c.alias(n) for n, c in T.calendar("timestamp").items() if n != "is_weekend_corrected"])
 
 
-def static_table(static: DataFrame, schema: dict[str, str], entities: list[str], spark) -> DataFrame:
-    """Every registered entity in index order with the schema's columns, null where unknown; the first row of an id counts."""
+def static_table(static: DataFrame, schema: dict[str, str], entities: list[str], spark, order: tuple[str, ...] = ()) -> DataFrame:
+    """Every registered entity in index order with the schema's columns, null where unknown.
+
+    Of several rows of an id the first by the order given, and then by their schema columns, counts as a whole.
+    """
     axis = spark.createDataFrame([(i, e) for i, e in enumerate(entities)], "turbine_index int, turbine_id string")
     cols = [F.col(c).try_cast(t).alias(c) if c in static.columns else F.lit(None).cast(t).alias(c) for c, t in schema.items()]
-    one = static.select("turbine_id", *cols).groupBy("turbine_id").agg(*[F.min_by(c, F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in schema])
+    row = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(*cols).alias("row"))
+    one = static.groupBy("turbine_id").agg(F.min(row)["row"].alias("row")).select("turbine_id", "row.*")
     return axis.join(one, "turbine_id", "left")

@@ -1,4 +1,9 @@
-"""Sliding history/forecast windows, splits, thinning and alignment, all as frames over ordinals."""
+"""Sliding history/forecast windows, splits, thinning and alignment, all as frames over ordinals.
+
+A dataset's axis isn't one task. Ordinals come from row numbers within spans of time plus
+the counts of the spans before; frames are taken in blocks of consecutive ordinals, each
+with copies of the neighbouring rows that its frames reach into.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspan.functions import flags as X
+from panelspan.functions import timeutil as T
 from panelspan.operators.panel import ENTITY, clean_row
 
 #: The window index's columns, in order.
@@ -19,52 +25,82 @@ FARM_COLUMNS = (
 )
 
 
+#: Seconds of a span that is numbered in one task, and rows of a block (more if frames are longer).
+SPAN, BLOCK = 2_000_000, 4096
+
+
 def _frames(keys: list[str], history: int, forecast: int):
     order = Window.partitionBy(*keys).orderBy("timestamp")
     return order, order.rowsBetween(-(history - 1), 0), order.rowsBetween(1, forecast)
 
 
-def farm_windows(summary: DataFrame, history: int, forecast: int, stride: int = 1) -> DataFrame:
+def with_ordinals(rows: DataFrame, keys: tuple[str, ...] = ("dataset",), time: str = "timestamp", span: int = SPAN) -> DataFrame:
+    """rows with __i, their place by time from 0, and __n, how many rows their keys have; times should be distinct within keys.
+
+    Each span of time is numbered by itself; what meets in one task a key is one count a span.
+    """
+    part = F.floor(T.seconds(time) / span)
+    marked = rows.withColumn("__span", part)
+    counts = marked.groupBy(*keys, "__span").agg(F.count("*").alias("__c"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(F.col("__span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], F.col("__span").alias("__s"), F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__before"), F.sum("__c").over(whole).alias("__n"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{j}")) for j, k in enumerate(keys)], F.col("__span").eqNullSafe(F.col("__s")))
+    numbered = marked.withColumn("__p", F.row_number().over(Window.partitionBy(*keys, "__span").orderBy(F.col(time).asc_nulls_first())) - 1)
+    out = numbered.join(before, same).withColumn("__i", F.col("__p") + F.col("__before"))
+    return out.drop("__span", "__s", "__p", "__before", *[f"__k{j}" for j in range(len(keys))])
+
+
+def in_blocks(numbered: DataFrame, keys: tuple[str, ...], back: int, ahead: int, block: int = BLOCK):
+    """(rows with __block and __home, the window specification of a block): each row in its own block, and as a copy in those whose frames reach it.
+
+    Frames of up to back rows before and ahead rows after a home row are whole.
+    """
+    size = max(block, back + ahead)
+    own = F.floor(F.col("__i") / size)
+    low, high = F.floor((F.col("__i") - ahead) / size), F.floor((F.col("__i") + back) / size)
+    copies = numbered.withColumn("__own", own).withColumn("__block", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+    return copies.withColumn("__home", F.col("__block") == F.col("__own")).drop("__own"), Window.partitionBy(*keys, "__block").orderBy("__i")
+
+
+def farm_windows(summary: DataFrame, history: int, forecast: int, stride: int = 1, block: int = BLOCK) -> DataFrame:
     """The farm window index of a per-timestamp summary (panel.farm_summary).
 
     Windows count rows, not time: input rows i-H+1 … i, output i+1 … i+F, for anchors from
     H-1 to n-F-1 by the stride. A side is complete if every step has all expected entities'
-    targets, synchronous if all are observed. One window specification serves every frame.
+    targets, synchronous if all are observed. One frame a side gathers all its steps.
     """
-    order, back, ahead = _frames(["dataset"], history, forecast)
-    n = F.count("*").over(Window.partitionBy("dataset"))
-    ordinal = F.row_number().over(order) - 1
-    sides = {"input": back, "output": ahead}
-    cols: dict[str, Column] = {"__i": ordinal, "__n": n}
-    for side, w in sides.items():
-        cols[f"{side}_start_ts"], cols[f"{side}_end_ts"] = F.first("timestamp").over(w), F.last("timestamp").over(w)
-        for c, name in (("observed", "observed"), ("with_target", "with_target"), ("masked", "masked"), ("unknown", "unknown"), ("abnormal", "abnormal")):
-            cols[f"{side}_{name}"] = F.collect_list(c).over(w)
-        cols[f"__{side}_flags"] = F.max("has_row_flags").over(w)
-        cols[f"__{side}_feature"] = F.max((F.coalesce("feature_flags", F.lit("")) != "").cast("int")).over(w)
-        cols[f"__{side}_min_observed"], cols[f"__{side}_min_target"] = F.min("observed").over(w), F.min("with_target").over(w)
-        cols[f"__{side}_mask_max"] = F.max("masked").over(w)
-    framed = summary.select("*", *(v.alias(k) for k, v in cols.items()))
-    anchor = (F.col("__i") >= history - 1) & (F.col("__i") <= F.col("__n") - forecast - 1) & ((F.col("__i") - (history - 1)) % stride == 0)
+    rows, order = in_blocks(with_ordinals(summary), ("dataset",), history - 1, forecast, block)
+    step = F.struct("timestamp", "observed", "with_target", "masked", "unknown", "abnormal", "has_row_flags", (F.coalesce("feature_flags", F.lit("")) != "").cast("int").alias("has_feature"))
+    framed = rows.select(
+        "dataset", "expected", "__i", "__n", "__home",
+        F.collect_list(step).over(order.rowsBetween(-(history - 1), 0)).alias("input"), F.collect_list(step).over(order.rowsBetween(1, forecast)).alias("output"),
+    )
+    anchor = F.col("__home") & (F.col("__i") >= history - 1) & (F.col("__i") <= F.col("__n") - forecast - 1) & ((F.col("__i") - (history - 1)) % stride == 0)
     kept = framed.filter(anchor)
-    complete = {s: F.col(f"__{s}_min_target") == F.col("expected") for s in sides}
-    synchronous = {s: F.col(f"__{s}_min_observed") == F.col("expected") for s in sides}
+    sides = ("input", "output")
+    least = lambda s, c: F.array_min(F.col(f"{s}.{c}"))
+    most = lambda s, c: F.array_max(F.col(f"{s}.{c}"))
+    complete = {s: least(s, "with_target") == F.col("expected") for s in sides}
+    synchronous = {s: least(s, "observed") == F.col("expected") for s in sides}
     flags = X.flag_list(
         X.flag_when(~complete["input"], X.PARTIAL_INPUT), X.flag_when(~complete["output"], X.PARTIAL_OUTPUT),
-        X.flag_when(F.col("__input_mask_max") > 0, X.MASKED_INPUT), X.flag_when(F.col("__output_mask_max") > 0, X.MASKED_OUTPUT),
-        X.flag_when(F.greatest("__input_flags", "__output_flags") > 0, X.ROW_ISSUES),
+        X.flag_when(most("input", "masked") > 0, X.MASKED_INPUT), X.flag_when(most("output", "masked") > 0, X.MASKED_OUTPUT),
+        X.flag_when(F.greatest(most("input", "has_row_flags"), most("output", "has_row_flags")) > 0, X.ROW_ISSUES),
     )
-    feature = X.flag_list(X.flag_when(F.col("__input_feature") > 0, X.FEATURE_ISSUES_INPUT), X.flag_when(F.col("__output_feature") > 0, X.FEATURE_ISSUES_OUTPUT))
-    return kept.withColumns(
-        {
-            "window_id": ((F.col("__i") - (history - 1)) / stride).cast("long"),
-            "input_steps_expected": F.lit(history), "output_steps_expected": F.lit(forecast),
-            "min_input_observed": F.col("__input_min_observed"), "min_output_with_target": F.col("__output_min_target"),
-            "is_complete_input": complete["input"], "is_complete_output": complete["output"],
-            "is_fully_synchronous_input": synchronous["input"], "is_fully_synchronous_output": synchronous["output"],
-            "quality_flags": flags, "feature_quality_flags": feature,
-        }
-    ).select(*FARM_COLUMNS)
+    feature = X.flag_list(X.flag_when(most("input", "has_feature") > 0, X.FEATURE_ISSUES_INPUT), X.flag_when(most("output", "has_feature") > 0, X.FEATURE_ISSUES_OUTPUT))
+    made = {
+        "window_id": ((F.col("__i") - (history - 1)) / stride).cast("long"),
+        "input_steps_expected": F.lit(history), "output_steps_expected": F.lit(forecast),
+        "min_input_observed": least("input", "observed"), "min_output_with_target": least("output", "with_target"),
+        "is_complete_input": complete["input"], "is_complete_output": complete["output"],
+        "is_fully_synchronous_input": synchronous["input"], "is_fully_synchronous_output": synchronous["output"],
+        "quality_flags": flags, "feature_quality_flags": feature,
+    }
+    for s in sides:
+        made[f"{s}_start_ts"], made[f"{s}_end_ts"] = F.element_at(F.col(f"{s}.timestamp"), 1), F.element_at(F.col(f"{s}.timestamp"), -1)
+        made |= {f"{s}_{c}": F.col(f"{s}.{c}") for c in ("observed", "with_target", "masked", "unknown", "abnormal")}
+    return kept.select(*[F.col("dataset") if c == "dataset" else made[c].alias(c) for c in FARM_COLUMNS])
 
 
 def farm_window_report(index: DataFrame) -> DataFrame:
@@ -118,11 +154,11 @@ def eligible_anchors(panel: DataFrame, history: int, forecast: int) -> DataFrame
     return framed.filter((F.col("__h") == history) & (F.col("__f") == forecast)).select(*keys, F.col("timestamp").alias("anchor_ts"), F.col("target_kw").alias("anchor_value"), "future")
 
 
-def valid_target_windows(panel: DataFrame, forecast: int) -> DataFrame:
+def valid_target_windows(panel: DataFrame, forecast: int, block: int = BLOCK) -> DataFrame:
     """Anchors (dataset, timestamp) with one valid target of any entity in their forecast span, at least."""
     per = panel.groupBy("dataset", "timestamp").agg(F.count("target_kw").alias("v"))
-    ahead = Window.partitionBy("dataset").orderBy("timestamp").rowsBetween(1, forecast)
-    return per.select("dataset", "timestamp", F.sum("v").over(ahead).alias("valid_targets")).filter("valid_targets > 0")
+    rows, order = in_blocks(with_ordinals(per), ("dataset",), 0, forecast, block)
+    return rows.select("dataset", "timestamp", "__home", F.sum("v").over(order.rowsBetween(1, forecast)).alias("valid_targets")).filter("__home AND valid_targets > 0").drop("__home")
 
 
 def split_bounds(axis: DataFrame, train: float = 0.7, validation: float = 0.1) -> DataFrame:
@@ -130,11 +166,10 @@ def split_bounds(axis: DataFrame, train: float = 0.7, validation: float = 0.1) -
 
     Shares are doubles: the floor of a decimal product would differ at the edges.
     """
-    ranked = axis.select("dataset", "timestamp").distinct().withColumn("i", F.row_number().over(Window.partitionBy("dataset").orderBy("timestamp")) - 1)
-    ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy("dataset")))
-    a = F.floor(F.col("n") * F.lit(float(train)))
-    b = a + F.floor(F.col("n") * F.lit(float(validation)))
-    split = F.when(F.col("i") < a, "train").when(F.col("i") < b, "val").otherwise("test")
+    ranked = with_ordinals(axis.select("dataset", "timestamp").distinct())
+    a = F.floor(F.col("__n") * F.lit(float(train)))
+    b = a + F.floor(F.col("__n") * F.lit(float(validation)))
+    split = F.when(F.col("__i") < a, "train").when(F.col("__i") < b, "val").otherwise("test")
     return ranked.groupBy("dataset", split.alias("split")).agg(F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"), F.count("*").alias("n_steps"))
 
 
@@ -146,16 +181,14 @@ def split_windows(index: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def thin(windows: DataFrame, forecast: int, keys: tuple[str, ...] = ("dataset",), order: str = "output_start_ts") -> DataFrame:
     """Every forecast-th window, from the first, so that forecasts don't overlap."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return windows.withColumn("__p", F.row_number().over(w) - 1).filter(F.col("__p") % forecast == 0).drop("__p")
+    return with_ordinals(windows, keys, order).filter(F.col("__i") % forecast == 0).drop("__i", "__n")
 
 
 def first_per_split(windows: DataFrame, limits: dict[str, int]) -> DataFrame:
     """The first windows of each split in time order; splits without a limit stay whole."""
-    w = Window.partitionBy("dataset", "split").orderBy("output_start_ts")
-    ranked = windows.withColumn("__r", F.row_number().over(w))
-    keep = reduce(lambda c, kv: F.when(F.col("split") == kv[0], F.col("__r") <= kv[1]).otherwise(c), limits.items(), F.lit(True))
-    return ranked.filter(keep).drop("__r")
+    ranked = with_ordinals(windows, ("dataset", "split"), "output_start_ts")
+    keep = reduce(lambda c, kv: F.when(F.col("split") == kv[0], F.col("__i") < kv[1]).otherwise(c), limits.items(), F.lit(True))
+    return ranked.filter(keep).drop("__i", "__n")
 
 
 def align(variants: list[DataFrame], keys: tuple[str, ...] = ("output_start_ts", "output_end_ts")) -> DataFrame:
@@ -163,11 +196,11 @@ def align(variants: list[DataFrame], keys: tuple[str, ...] = ("output_start_ts",
     return reduce(lambda a, b: a.intersect(b), [v.select(*keys).distinct() for v in variants])
 
 
-def history_rows(axis: DataFrame, targets: DataFrame, history: int) -> DataFrame:
+def history_rows(axis: DataFrame, targets: DataFrame, history: int, block: int = BLOCK) -> DataFrame:
     """Timestamps that are in the history of a training window: one of the next `history` steps starts a target."""
     marked = axis.select("dataset", "timestamp").distinct().join(targets.select("dataset", F.col("output_start_ts").alias("timestamp"), F.lit(1).alias("__t")).distinct(), ["dataset", "timestamp"], "left")
-    ahead = Window.partitionBy("dataset").orderBy("timestamp").rowsBetween(1, history)
-    return marked.withColumn("__h", F.max("__t").over(ahead)).filter("__h = 1").select("dataset", "timestamp")
+    rows, order = in_blocks(with_ordinals(marked), ("dataset",), 0, history, block)
+    return rows.withColumn("__h", F.max("__t").over(order.rowsBetween(1, history))).filter("__home AND __h = 1").select("dataset", "timestamp")
 
 
 def last_valid(panel: DataFrame, history: int, fallback: DataFrame | None = None) -> DataFrame:
@@ -191,5 +224,4 @@ def steps_since_valid(panel: DataFrame, cap: int = 72) -> DataFrame:
 
 def panel_ordinals(panel: DataFrame) -> DataFrame:
     """(dataset, timestamp, step): the position of each timestamp on the axis, from 0."""
-    axis = panel.select("dataset", "timestamp").distinct()
-    return axis.withColumn("step", F.row_number().over(Window.partitionBy("dataset").orderBy("timestamp")) - 1)
+    return with_ordinals(panel.select("dataset", "timestamp").distinct()).select("dataset", "timestamp", F.col("__i").alias("step"))

@@ -265,7 +265,7 @@ _ERR = "count(*) AS prediction_count, round(avg(abs(predicted - actual)), 6) AS
 _ERR_PU = _ERR + ", round(avg(abs(predicted - actual) / 100), 6) AS mae_pu, round(sqrt(avg(((predicted - actual) / 100) ** 2)), 6) AS rmse_pu"
 
 
-@query(panel_sql() + ELIGIBLE_SQL + f" SELECT 'events' AS dataset, {_ERR_PU} FROM predictions")
+@query(panel_sql() + ELIGIBLE_SQL + f" SELECT 'events' AS dataset, {_ERR_PU} FROM predictions GROUP BY 1")
 def persistence_summary(spark, sf):
     return K.errors(_predictions(spark, sf), ["dataset"], F.lit(100.0))
 
@@ -283,8 +283,8 @@ def persistence_entity(spark, sf):
 @query(
     panel_sql()
     + ELIGIBLE_SQL
-    + f""" SELECT 'events' AS dataset, horizon, turbine_id, CASE WHEN g = 3 THEN 'overall' WHEN g = 1 THEN 'horizon' ELSE 'entity' END AS scope, prediction_count, mae, rmse FROM (
-  SELECT horizon, turbine_id, grouping(horizon) * 2 + grouping(turbine_id) AS g, {_ERR} FROM predictions GROUP BY GROUPING SETS ((), (horizon), (turbine_id)))"""
+    + f""" SELECT dataset, horizon, turbine_id, CASE WHEN g = 3 THEN 'overall' WHEN g = 1 THEN 'horizon' ELSE 'entity' END AS scope, prediction_count, mae, rmse FROM (
+  SELECT dataset, horizon, turbine_id, grouping(horizon) * 2 + grouping(turbine_id) AS g, {_ERR} FROM (SELECT 'events' AS dataset, * FROM predictions) GROUP BY GROUPING SETS ((dataset), (dataset, horizon), (dataset, turbine_id)))"""
 )
 def metrics_rollup(spark, sf):
     return K.metrics_rollup(_predictions(spark, sf))
@@ -470,7 +470,7 @@ def active_sweep(spark, sf):
 
 @query(
     """
-WITH i AS (SELECT s_suppkey, TIMESTAMP '2024-01-01' + to_hours(s_suppkey % 24) AS a, TIMESTAMP '2024-01-01' + to_hours(s_suppkey % 24 + 5) AS f, TIMESTAMP '2024-01-01' + to_hours(s_suppkey % 24 + 9) AS z FROM supplier WHERE s_suppkey <= 100),
+WITH i AS (SELECT s_suppkey, TIMESTAMP '2024-01-01' + to_hours(s_suppkey % 24) AS a, TIMESTAMP '2024-01-01' + to_hours(s_suppkey % 24 + 5) AS f, TIMESTAMP '2024-01-01' + to_hours(s_suppkey % 24 + 9) AS z FROM supplier),
 g AS (SELECT *, unnest(generate_series(a, TIMESTAMP '2024-01-03', INTERVAL '60 minutes')) AS t FROM i)
 SELECT s_suppkey, strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp, t >= a AND t <= z AS tuneup_in_window, t > z AS tuneup_post, t >= f AS tuneup_effective,
   round(date_diff('second', a, t) / 86400, 6) AS days_since_tuneup_start, round(CASE WHEN t >= f THEN date_diff('second', f, t) / 86400 END, 6) AS days_since_tuneup_effective FROM g"""
@@ -549,7 +549,7 @@ def angle_features(spark, sf):
 # geometry
 
 _EDGES_SQL = """
-WITH s AS (SELECT printf('T%05d', s_suppkey::BIGINT) AS id, s_acctbal::DOUBLE AS x, s_suppkey * 10.0 AS y, (s_suppkey % 7)::DOUBLE AS el, 80.0 + s_nationkey AS ro FROM supplier WHERE s_suppkey <= 100),
+WITH s AS (SELECT printf('T%05d', s_suppkey::BIGINT) AS id, s_acctbal::DOUBLE AS x, s_suppkey * 10.0 AS y, (s_suppkey % 7)::DOUBLE AS el, 80.0 + s_nationkey AS ro FROM supplier),
 e AS (SELECT a.id AS src_turbine_id, b.id AS dst_turbine_id, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d, b.el - a.el AS el, (a.ro + b.ro) / 2 AS mr FROM s AS a JOIN s AS b ON a.id <> b.id)"""
 
 

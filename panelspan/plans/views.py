@@ -118,7 +118,7 @@ INTERVALS_SQL = """
 WITH iv AS (
   SELECT (user_id % 50)::VARCHAR AS key, date_trunc('second', ts) AS start_ts, CASE WHEN event_type <> 'error' THEN date_trunc('second', ts) + to_seconds(floor(value * 60)::BIGINT) END AS end_ts, event_type AS status, event_id FROM events
 ), nx AS (
-  SELECT *, lead(start_ts) OVER (PARTITION BY key ORDER BY start_ts) AS nxt, max(coalesce(end_ts, start_ts)) OVER (PARTITION BY key) AS bound FROM iv
+  SELECT *, min(start_ts) OVER (PARTITION BY key ORDER BY start_ts RANGE BETWEEN INTERVAL '1 microsecond' FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt, max(coalesce(end_ts, start_ts)) OVER (PARTITION BY key) AS bound FROM iv
 ), ev AS (
   SELECT *, CASE WHEN end_ts > start_ts THEN end_ts WHEN nxt > start_ts THEN nxt
     ELSE time_bucket(INTERVAL '60 minutes', bound - INTERVAL '1 microsecond') + INTERVAL '120 minutes' END AS effective_end FROM nx

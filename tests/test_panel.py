@@ -55,6 +55,54 @@ def test_no_windows_on_a_short_axis_or_empty_panel(spark):
     assert windows.farm_windows(panel.farm_summary(empty, 1), 3, 2).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 7, 5])
+def test_windows_don_t_depend_on_blocks_and_spans(spark, block):
+    """Frames over blocks with copied borders, and ordinals over spans, against plain Python over each dataset's whole axis."""
+    import random
+
+    rng = random.Random(block)
+    cells = [("a" if d else "b", e, i, rng.choice([None, 1.0, 2.0])) for d in (0, 1) for e in "AB" for i in range(40 - d * 7) if rng.random() < 0.9]
+    o = spark.createDataFrame([(d, e + d, T0 + i * 60 * STEP, v) for d, e, i, v in cells], SCHEMA)
+    p = panel.fill_grid(o, None, 600)
+    summary = panel.farm_summary(p, 2)
+    per = {}
+    for r in rows(summary, "dataset", "timestamp"):
+        per.setdefault(r["dataset"], []).append(r)
+    numbered = rows(windows.with_ordinals(summary, span=100_000), "dataset", "timestamp")
+    assert [(r["__i"], r["__n"]) for r in numbered] == [(i, len(v)) for v in per.values() for i in range(len(v))]
+    got = rows(windows.farm_windows(summary, 3, 2, block=block), "dataset", "window_id")
+    want = [(d, i - 2, [x["with_target"] for x in v[i - 2 : i + 1]], [x["with_target"] for x in v[i + 1 : i + 3]], v[i - 2]["timestamp"], v[i + 2]["timestamp"]) for d, v in per.items() for i in range(2, len(v) - 2)]
+    assert [(r["dataset"], r["window_id"], r["input_with_target"], r["output_with_target"], r["input_start_ts"], r["output_end_ts"]) for r in got] == want
+    valid = {(r["dataset"], r["timestamp"]): r["valid_targets"] for r in rows(windows.valid_target_windows(p, 4, block))}
+    assert valid == {(d, v[i]["timestamp"]): n for d, v in per.items() for i in range(len(v)) if (n := sum(x["with_target"] for x in v[i + 1 : i + 5]))}
+
+
+def test_grids_of_several_datasets_keep_to_their_entities(spark):
+    o = spark.createDataFrame([("x", "a1", T0, 1.0), ("x", "a1", T0 + 2 * STEP, 2.0), ("y", "b1", T0 + STEP, 3.0), ("y", "b2", T0 + 2 * STEP, 4.0)], SCHEMA)
+    want = [("x", "a1", 0, True), ("x", "a1", 1, False), ("x", "a1", 2, True), ("y", "b1", 1, True), ("y", "b1", 2, False), ("y", "b2", 1, False), ("y", "b2", 2, True)]
+    for entities in (None, o.select("dataset", "turbine_id").distinct()):
+        got = rows(panel.fill_grid(o, entities, 10), "dataset", "turbine_id", "timestamp")
+        assert [(r["dataset"], r["turbine_id"], (r["timestamp"] - T0) // STEP, r["is_observed"]) for r in got] == want
+
+
+def test_static_rows_count_as_wholes(spark):
+    from panelspan.operators import protocols
+
+    static = spark.createDataFrame([("A", 2, 1), ("A", 1, 2), ("C", 5, 5)], "turbine_id string, p int, q int")
+    got = rows(protocols.static_table(static, {"p": "int", "q": "int", "r": "string"}, ["B", "A"], spark), "turbine_index")
+    assert [(r["turbine_id"], r["p"], r["q"], r["r"]) for r in got] == [("B", None, None, None), ("A", 1, 2, None)]
+    first = protocols.static_table(static, {"p": "int", "q": "int"}, ["A"], spark, order=("q",)).first()
+    assert (first["p"], first["q"]) == (2, 1)
+
+
+def test_open_events_that_start_together_end_together(spark):
+    from panelspan.operators import events
+
+    e = spark.createDataFrame([("k", T0, None, i) for i in range(3)] + [("k", T0 + STEP, None, 9)], "key string, start_ts timestamp_ntz, end_ts timestamp_ntz, id int")
+    got = rows(events.effective_ends(e, ["key"], 10), "id")
+    assert [r["effective_end"] for r in got] == [T0 + STEP] * 3 + [T0 + 2 * STEP]
+
+
 def test_masked_windows(spark):
     p = panel.fill_grid(obs(spark, [("A", i, i) for i in range(5)]), None, 10)
     p = p.withColumn("target_kw__mask", (F.col("target_kw") == 2).cast("int"))
