@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspan.operators import metrics, panel, protocols, windows
-from panelspan.sources import layers
-from panelspan.sources.specs import DATASETS, DatasetSpec, TaskSpec, dataset
+from panelspan.operators import geometry, metrics, panel, protocols, windows
+from panelspan.sources import files, layers
+from panelspan.sources.specs import SOURCES, SourceSpec, TaskSpec, dataset
 
 
-def list_datasets() -> list[str]:
-    return sorted(DATASETS)
+#: Static columns that geometry needs.
+STATIC = {"coord_x": "double", "coord_y": "double", "latitude": "double", "longitude": "double", "elevation": "double", "rotor": "double"}
 
 
-def get_dataset_spec(dataset_id: str) -> DatasetSpec:
+def list_sources() -> list[str]:
+    return sorted(SOURCES)
+
+
+def get_dataset_spec(dataset_id: str) -> SourceSpec:
     return dataset(dataset_id)
 
 
-def build_gold(observations: DataFrame, spec: DatasetSpec, layout: str = "farm") -> DataFrame:
+def build_gold(observations: DataFrame, spec: SourceSpec, layout: str = "farm") -> DataFrame:
     """The regular farm panel of a dataset's observations (dataset, turbine_id, timestamp, target_kw, …)."""
     spark = observations.sparkSession
-    entities = spark.createDataFrame([(e,) for e in spec.entities], "turbine_id string")
-    known = observations.join(F.broadcast(entities), "turbine_id", "left_semi")
+    # the entities of one registered source: a fixed list of some tens to hundreds
+    entities = spark.createDataFrame([(spec.dataset_id, e) for e in spec.entities], "dataset string, turbine_id string")
+    known = observations.join(F.broadcast(entities), ["dataset", "turbine_id"], "left_semi")
     return panel.with_farm_sync(panel.fill_grid(known, entities, spec.resolution_minutes, layout), len(spec.entities))
 
 
@@ -34,25 +39,98 @@ class Bundle:
     known_future: DataFrame
     window_index: DataFrame
     report: DataFrame
+    static: DataFrame
+    pairwise: DataFrame
+    context: DataFrame
+
+
+PARTS = tuple(f.name for f in fields(Bundle))
 
 
-def build_bundle(gold: DataFrame, spec: DatasetSpec, task: TaskSpec, protocol: str) -> Bundle:
-    """A task's series, calendar, window index and its report."""
-    if task.mode != "farm":
-        raise ValueError("bundles are built for farm tasks")
+def build_bundle(gold: DataFrame, spec: SourceSpec, task: TaskSpec, protocol: str, static: DataFrame | None = None) -> Bundle:
+    """A task's series, calendar, window index with its report, entities in index order, their geometry, and a context row.
+
+    A farm task has windows of all entities together, a turbine task those of each. static: (turbine_id, coord_x,
+    coord_y or latitude, longitude, elevation, rotor); without positions there are no edges.
+    """
+    spark = gold.sparkSession
     series = protocols.select_protocol(gold, spec, protocol)
     history, forecast, stride = task.steps(spec.resolution_minutes)
-    index = windows.farm_windows(panel.farm_summary(series, len(spec.entities)), history, forecast, stride)
-    return Bundle(series, protocols.known_future(series), index, windows.farm_window_report(index))
+    if task.mode == "farm":
+        index = windows.farm_windows(panel.farm_summary(series, len(spec.entities)), history, forecast, stride)
+        report = windows.farm_window_report(index)
+    elif task.mode == "turbine":
+        index = windows.entity_windows(series, history, forecast, stride)
+        report = windows.entity_window_report(index)
+    else:
+        raise ValueError(f"unknown task mode {task.mode!r}")
+    known = static if static is not None else spark.createDataFrame([], "turbine_id string")
+    entities = protocols.static_table(known, STATIC, list(spec.entities), spark)
+    placed = geometry.with_local_xy(entities).filter("x IS NOT NULL AND y IS NOT NULL")
+    pairwise = geometry.pairwise_geometry(placed)
+    covariates = [c for c in series.columns if c not in protocols.BASE and not c.endswith("__mask")]
+    row = (spec.dataset_id, task.task_id, protocol, history, forecast, stride, spec.resolution_minutes, covariates, [c for c in series.columns if c.endswith("__mask")], list(spec.entities))
+    context = spark.createDataFrame([row], "dataset string, task_id string, protocol string, history_steps int, forecast_steps int, stride_steps int, resolution_minutes int, covariates array<string>, masks array<string>, entities array<string>")
+    return Bundle(series, protocols.known_future(series), index, report, entities, pairwise, context)
 
 
 def save_bundle(bundle: Bundle, layout: layers.Layout, task: TaskSpec, protocol: str) -> None:
-    for name in ("series", "known_future", "window_index", "report"):
+    for name in PARTS:
         layers.write(getattr(bundle, name), layout.task(task.task_id, protocol, name))
 
 
 def load_bundle(spark: SparkSession, layout: layers.Layout, task: TaskSpec, protocol: str) -> Bundle:
-    return Bundle(*[spark.read.parquet(layout.task(task.task_id, protocol, n)) for n in ("series", "known_future", "window_index", "report")])
+    return Bundle(*[spark.read.parquet(layout.task(task.task_id, protocol, n)) for n in PARTS])
+
+
+def build_manifest(spark: SparkSession, root: str, layout: layers.Layout, required: dict[str, str]) -> dict:
+    """Files below root: how many fit each required pattern, which patterns none fits, and a fingerprint; stored beside the layers."""
+    listing = files.list_files(spark, root)
+    counts, missing = layers.check_layout([r[0] for r in listing.select("path").orderBy("path").collect()], required)
+    manifest = {"root": root, "counts": counts, "missing": missing, "fingerprint": layers.source_fingerprint(listing).first()[0]}
+    layers.publish(spark, layers.report(manifest), f"{layout.root}/{layout.dataset}/manifest.json")
+    return manifest
+
+
+def build_silver(rows: DataFrame, layout: layers.Layout, name: str = "continuous") -> None:
+    """A normalised source table, stored in the silver layer."""
+    layers.write(rows, layout.silver(name))
+
+
+def _silver(spark: SparkSession, layout: layers.Layout, *name: str) -> DataFrame:
+    return spark.read.parquet(layout.silver("__".join(name)))
+
+
+def load_series(spark: SparkSession, layout: layers.Layout) -> DataFrame:
+    return spark.read.parquet(layout.gold)
+
+
+def load_turbine_static(spark: SparkSession, layout: layers.Layout) -> DataFrame:
+    return _silver(spark, layout, "turbine_static")
+
+
+def load_shared_timeseries(spark: SparkSession, layout: layers.Layout, group: str) -> DataFrame:
+    return _silver(spark, layout, "shared", group)
+
+
+def load_duplicate_audit(spark: SparkSession, layout: layers.Layout) -> DataFrame:
+    return _silver(spark, layout, "duplicate_audit")
+
+
+def load_event_features(spark: SparkSession, layout: layers.Layout, group: str) -> DataFrame:
+    return _silver(spark, layout, "event_features", group)
+
+
+def load_interventions(spark: SparkSession, layout: layers.Layout, group: str) -> DataFrame:
+    return _silver(spark, layout, "interventions", group)
+
+
+def load_window_index(spark: SparkSession, layout: layers.Layout, task: TaskSpec, protocol: str) -> DataFrame:
+    return load_bundle(spark, layout, task, protocol).window_index
+
+
+def load_task_turbine_static(spark: SparkSession, layout: layers.Layout, task: TaskSpec, protocol: str) -> DataFrame:
+    return load_bundle(spark, layout, task, protocol).static
 
 
 def persistence(series: DataFrame, task: TaskSpec, minutes: int, rated_kw: float | None = None) -> dict[str, DataFrame]:
@@ -63,7 +141,7 @@ def persistence(series: DataFrame, task: TaskSpec, minutes: int, rated_kw: float
     return {n: metrics.errors(predictions, keys, rated) for n, keys in (("summary", ["dataset"]), ("per_horizon", ["dataset", "horizon"]), ("per_entity", ["dataset", "turbine_id"]))}
 
 
-def quality_report(gold: DataFrame, spec: DatasetSpec) -> dict:
+def quality_report(gold: DataFrame, spec: SourceSpec) -> dict:
     """Totals and coverage of a panel as one plain dict."""
     totals = panel.quality_totals(gold).first()
     coverage = panel.coverage_overall(gold, len(spec.entities)).first()

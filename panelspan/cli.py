@@ -14,7 +14,7 @@ from panelspan.sources.specs import TaskSpec
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="panelspan")
     p.add_argument("command", choices=["build", "check"])
-    p.add_argument("dataset", nargs="+", choices=api.list_datasets())
+    p.add_argument("dataset", nargs="+", choices=api.list_sources())
     p.add_argument("--observations", required=True, help="Parquet of (dataset, turbine_id, timestamp, target_kw, ...)")
     p.add_argument("--root", required=True)
     p.add_argument("--history", default="24h")

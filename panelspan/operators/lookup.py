@@ -21,6 +21,11 @@ def unmatched(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     return rows.select(key).distinct().join(dimension.select(key), key, "left_anti")
 
 
+def members(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys are among the wanted ones; Spark broadcasts those if their size allows."""
+    return rows.join(wanted.select(*keys), keys, "left_semi")
+
+
 def annotate(rows: DataFrame, provenance: DataFrame, key: str) -> DataFrame:
     """rows with provenance columns by variant; an unknown variant is an error."""
     unknown = [r[0] for r in unmatched(rows, provenance, key).limit(10).collect()]

@@ -57,17 +57,30 @@ def project(df: DataFrame, kept: list[str]) -> DataFrame:
 # fixed values: the named mask rules, by the cells they null
 def named_rule(rule: str, column: str, power: str = "Patv", speed: str = "Wspd") -> Column:
     c = F.col(f"`{column}`")
-    if rule == "nonpositive_power_at_wind":
+    if rule == "sdwpf_unknown_patv_wspd":
         return (F.col(power) <= 0) & (F.col(speed) > 2.5)
-    if rule == "wind_direction_range":
+    if rule == "sdwpf_wdir_out_of_range":
         return (c < -180) | (c > 180)
-    if rule == "nacelle_direction_range":
+    if rule == "sdwpf_ndir_out_of_range":
         return (c < -720) | (c > 720)
-    if rule == "pitch_above_89":
+    if rule == "sdwpf_pitch_gt_89":
         return c > 89
     raise ValueError(f"unknown mask rule {rule!r}")
 
 
+# fixed values: the flags of unknown and of abnormal readings of a day/clock panel, and what they stand for
+def reading_flags(columns: list[str]) -> dict[str, Column]:
+    """Flag -> whether a row has it, in flag order: no power though the wind blows, a blade turned out of the wind,
+    a nacelle or a wind direction outside its possible range; what can't be compared has no flag."""
+    pitch = [F.coalesce(named_rule("sdwpf_pitch_gt_89", c), F.lit(False)) for c in ("Pab1", "Pab2", "Pab3") if c in columns]
+    return {
+        "sdwpf_unknown_patv_wspd": F.coalesce(named_rule("sdwpf_unknown_patv_wspd", "Patv"), F.lit(False)),
+        "sdwpf_unknown_pitch": reduce(operator.or_, pitch, F.lit(False)),
+        "sdwpf_abnormal_ndir": F.coalesce(named_rule("sdwpf_ndir_out_of_range", "Ndir"), F.lit(False)),
+        "sdwpf_abnormal_wdir": F.coalesce(named_rule("sdwpf_wdir_out_of_range", "Wdir"), F.lit(False)),
+    }
+
+
 def apply_masks(df: DataFrame, masks: dict[str, Column]) -> DataFrame:
     """Null the cells whose condition holds; an unknown condition keeps the cell. All conditions see the unmasked row."""
     return df.withColumns({c: F.when(F.coalesce(m, F.lit(False)), F.lit(None)).otherwise(F.col(f"`{c}`")) for c, m in masks.items() if c in df.columns})

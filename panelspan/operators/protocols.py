@@ -11,19 +11,19 @@ from panelspan.functions import flags as X
 from panelspan.functions import scalars as M
 from panelspan.functions import timeutil as T
 from panelspan.operators.policy import outside_rule
-from panelspan.sources.specs import MASKED, MASKED_DATASETS, PITCH_RULE, PROTOCOLS, DatasetSpec
+from panelspan.sources.specs import MASKED, MASKED_SOURCES, PITCH_RULE, PROTOCOLS, SourceSpec
 
 BASE = ("dataset", "turbine_id", "timestamp", "target_kw", "is_observed", "quality_flags", "feature_quality_flags")
 
 
-def _native(spec: DatasetSpec, role: str) -> str:
+def _native(spec: SourceSpec, role: str) -> str:
     try:
         return spec.columns[role]
     except KeyError:
         raise ValueError(f"{spec.dataset_id} has no {role} column") from None
 
 
-def role_columns(spec: DatasetSpec, masked: bool) -> dict[str, Column]:
+def role_columns(spec: SourceSpec, masked: bool) -> dict[str, Column]:
     """Each role's expression. Where a dataset stores the direction relative to the nacelle, that is
     the yaw error itself, and the direction is their sum."""
     out: dict[str, Column] = {}
@@ -47,7 +47,7 @@ def role_columns(spec: DatasetSpec, masked: bool) -> dict[str, Column]:
 NAMES = {"wd_sin": "wind_direction_sin", "wd_cos": "wind_direction_cos", "yaw_sin": "yaw_error_sin", "yaw_cos": "yaw_error_cos", "pitch_mean": "pitch_mean"}
 
 
-def select_protocol(panel: DataFrame, spec: DatasetSpec, protocol: str) -> DataFrame:
+def select_protocol(panel: DataFrame, spec: SourceSpec, protocol: str) -> DataFrame:
     """The base columns, the protocol's values and its masks; a row that misses a value is flagged for it.
 
     A masked protocol has an int8 companion of the target and of every value, 1 where missing.
@@ -55,7 +55,7 @@ def select_protocol(panel: DataFrame, spec: DatasetSpec, protocol: str) -> DataF
     if protocol not in PROTOCOLS:
         raise ValueError(f"unknown protocol {protocol!r}")
     masked = protocol in MASKED
-    if masked and spec.dataset_id not in MASKED_DATASETS:
+    if masked and spec.dataset_id not in MASKED_SOURCES:
         raise ValueError(f"{protocol} is not defined for {spec.dataset_id}")
     roles = PROTOCOLS[protocol]
     known = role_columns(spec, masked) if roles else {}

@@ -46,6 +46,30 @@ def padding(rows: DataFrame, keys: list[str]) -> DataFrame:
     return cells.select(*keys, F.floor(F.col("i") / F.col("side")).alias("tile_row"), F.pmod("i", "side").alias("tile_col"))
 
 
+def status_tile(rows: DataFrame, keys: list[str], order: str, status) -> DataFrame:
+    """A square tile of status codes: (keys, tile_row, tile_col, value)."""
+    return tile(rows.withColumn("__status", status), keys, order, "__status")
+
+
+def dense(panel: DataFrame, columns: list[str], future_from=None, masks: tuple[str, ...] = ()) -> DataFrame:
+    """(dataset, timestamp, turbine_id, channels): the columns as one array, missing values 0, for dense exports.
+
+    From future_from on observations are unknown: they are 0 there and their masks 1.
+    """
+    ahead = F.lit(False) if future_from is None else F.col("timestamp") >= F.lit(future_from).cast("timestamp_ntz")
+    cell = lambda c: F.when(ahead, F.lit(1.0 if c in masks else 0.0)).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    return panel.select("dataset", "timestamp", ENTITY, F.array(*[cell(c) for c in columns]).alias("channels"))
+
+
+def selected_entity(selector: str | int, entities: list[str]) -> str:
+    """A registered id, given as itself or by its place from 0."""
+    if isinstance(selector, str) and selector in entities:
+        return selector
+    if str(selector).isdigit() and int(selector) < len(entities):
+        return entities[int(selector)]
+    raise ValueError(f"{selector!r} is neither one of {', '.join(entities)} nor a place among them")
+
+
 def status_code(masked, target_issue, feature_issue):
     """2 masked, else 0 target issue, else 1 feature issue, else 3 clean."""
     return F.when(masked, 2).when(target_issue, 0).when(feature_issue, 1).otherwise(3)

@@ -136,6 +136,14 @@ def entity_windows(panel: DataFrame, history: int, forecast: int, stride: int =
     return kept.select(*keys, *sides, full_in.alias("is_complete_input"), full_out.alias("is_complete_output"), flags.alias("window_flags"))
 
 
+def entity_window_report(index: DataFrame) -> DataFrame:
+    """Counters over an entity window index, one row an entity."""
+    return index.groupBy("dataset", ENTITY).agg(
+        F.count("*").alias("window_count"), F.count_if("is_complete_input").alias("complete_input"), F.count_if("is_complete_output").alias("complete_output"),
+        F.count_if(F.col("is_complete_input") & F.col("is_complete_output")).alias("complete"), F.count_if(F.col("window_flags") == "").alias("unflagged"),
+    )
+
+
 def strict_windows(index: DataFrame, clean_inputs: bool = False) -> DataFrame:
     """Windows complete and synchronous on both sides without row flags, optionally without input feature issues."""
     ok = F.col("is_complete_input") & F.col("is_complete_output") & F.col("is_fully_synchronous_input") & F.col("is_fully_synchronous_output")

@@ -20,7 +20,7 @@ from panelspan.operators import policy as Y
 from panelspan.operators import reshape as R
 from panelspan.operators import windows as W
 from panelspan.plans import views as V
-from panelspan.plans.views import ELIGIBLE_SQL, FORECAST, HISTORY, HOURLY, INTERVALS_SQL, READINGS_SQL, SUMMARY_SQL, WINDOWS_SQL, at, panel_sql, tidy
+from panelspan.plans.views import ELIGIBLE_SQL, FORECAST, HISTORY, HOURLY, INTERVALS_SQL, READINGS_SQL, SUMMARY_SQL, WINDOWS_SQL, at, panel_sql, tidy, windows_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,9 +171,9 @@ def entity_windows(spark, sf):
     return W.entity_windows(V.panel(spark, sf), HISTORY, FORECAST)
 
 
-@query(panel_sql() + SUMMARY_SQL + WINDOWS_SQL + f" SELECT window_id, {at('output_start_ts')} AS output_start_ts FROM windows WHERE ci AND co AND si AND so AND fl = 0")
+@query(panel_sql(1440) + SUMMARY_SQL + windows_sql(5, 2) + f" SELECT window_id, {at('output_start_ts')} AS output_start_ts FROM windows WHERE ci AND co AND si AND so AND fl = 0")
 def strict_windows(spark, sf):
-    return W.strict_windows(W.farm_windows(P.farm_summary(V.panel(spark, sf), 5), HISTORY, FORECAST)).select("window_id", "output_start_ts")
+    return W.strict_windows(W.farm_windows(P.farm_summary(V.panel(spark, sf, 1440), 5), 5, 2)).select("window_id", "output_start_ts")
 
 
 @query(panel_sql() + ELIGIBLE_SQL + " SELECT turbine_id, count(*) AS eligible_count, round(sum(predicted), 6) AS anchor_sum FROM anchors GROUP BY 1")
@@ -333,9 +333,11 @@ def masked_losses(spark, sf):
     return K.masked_losses(_predictions(spark, sf).withColumn("valid", F.col("horizon") != 2), ["turbine_id"], 5.0)
 
 
-@query(panel_sql() + " SELECT turbine_id, round(avg(target_kw), 6) AS mean, round(CASE WHEN stddev_pop(target_kw) > 0 THEN stddev_pop(target_kw) ELSE 1 END, 6) AS std FROM panel GROUP BY 1")
+@query(panel_sql() + _SPLIT_SQL + " SELECT turbine_id, round(avg(target_kw), 6) AS mean, round(CASE WHEN stddev_pop(target_kw) > 0 THEN stddev_pop(target_kw) ELSE 1 END, 6) AS std FROM panel JOIN sp USING (timestamp) WHERE split = 'train' GROUP BY 1")
 def train_stats(spark, sf):
-    return K.train_stats(V.panel(spark, sf), ["turbine_id"], "target_kw")
+    panel = V.panel(spark, sf)
+    train = W.split_bounds(panel).filter("split = 'train'").select("dataset", "start_ts", "end_ts")  # one row a dataset
+    return K.train_stats(panel.join(F.broadcast(train), "dataset").filter("timestamp BETWEEN start_ts AND end_ts"), ["turbine_id"], "target_kw")
 
 
 @query(panel_sql() + f", s AS (SELECT turbine_id, avg(target_kw) AS m, stddev_pop(target_kw) AS d FROM panel GROUP BY 1) SELECT turbine_id, {at('timestamp')} AS timestamp, round(coalesce((target_kw - m) / CASE WHEN d > 0 THEN d ELSE 1 END, 0), 6) AS z, round(CASE WHEN target_kw IS NOT NULL THEN ln(1 + greatest(target_kw, 0)) END, 6) AS lg, round(CASE WHEN target_kw IS NOT NULL THEN least(greatest(target_kw, 0), 60) / 60 END, 6) AS pu FROM panel JOIN s USING (turbine_id)")
@@ -593,10 +595,10 @@ def power_tile(spark, sf):
     return R.tile(V.panel(spark, sf), ["turbine_id"], "timestamp", "target_kw")
 
 
-@query(panel_sql() + " SELECT turbine_id, CASE WHEN coalesce(target_kw > 60, false) THEN 2 WHEN target_kw IS NULL THEN 0 ELSE 3 END::BIGINT AS status, count(*) AS n FROM panel GROUP BY 1, 2")
+@query(panel_sql() + ", r AS (SELECT turbine_id, CASE WHEN coalesce(target_kw > 60, false) THEN 2 WHEN target_kw IS NULL THEN 0 ELSE 3 END AS value, row_number() OVER (PARTITION BY turbine_id ORDER BY timestamp) - 1 AS i, ceil(sqrt(count(*) OVER (PARTITION BY turbine_id)))::BIGINT AS s FROM panel) SELECT turbine_id, (i // s)::BIGINT AS tile_row, (i % s)::BIGINT AS tile_col, value::BIGINT AS value FROM r")
 def status_tile(spark, sf):
     code = R.status_code(F.coalesce(F.col("target_kw") > 60, F.lit(False)), F.col("target_kw").isNull(), F.lit(False))
-    return V.panel(spark, sf).groupBy("turbine_id", code.alias("status")).agg(F.count("*").alias("n"))
+    return R.status_tile(V.panel(spark, sf), ["turbine_id"], "timestamp", code)
 
 
 @query(
@@ -656,14 +658,16 @@ def long_context(spark, sf):
   SELECT *, (lag(start_ts) OVER (PARTITION BY key ORDER BY start_ts, event_id) IS NULL OR start_ts - lag(start_ts) OVER (PARTITION BY key ORDER BY start_ts, event_id) >= INTERVAL '60 minutes')::INT AS brk FROM (SELECT (user_id % 50)::VARCHAR AS key, date_trunc('second', ts) AS start_ts, event_id FROM events))) GROUP BY key, sid"""
 )
 def gap_sessions(spark, sf):
-    iv = V.intervals(spark, sf)
-    return iv.groupBy("key", F.session_window("start_ts", "60 minutes")).agg(F.min("start_ts").alias("first_start"), F.count("*").alias("n")).drop("session_window")
+    from panelspan.streaming import revisions
+
+    return revisions.sessions(V.intervals(spark, sf), "key", "start_ts", "60 minutes", "1 hour").select("key", F.col("start_ts").alias("first_start"), F.col("row_count").alias("n"))
 
 
-@query("SELECT user_id, strftime(time_bucket(INTERVAL '60 minutes', ts - INTERVAL '1 microsecond') + INTERVAL '60 minutes', '%Y-%m-%d %H:%M:%S') AS bucket_end, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT user_id, strftime(time_bucket(INTERVAL '60 minutes', ts), '%Y-%m-%d %H:%M:%S') AS timestamp, count(*) AS row_count, round(avg(value), 6) AS target_kw FROM events GROUP BY 1, 2")
 def tumbling_buckets(spark, sf):
-    e = V.table(spark, sf, "events").select("user_id", T.ceil_to("ts", HOURLY).alias("bucket_end"), "value")
-    return e.groupBy("user_id", "bucket_end").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    from panelspan.streaming import revisions
+
+    return revisions.bucket_means(V.table(spark, sf, "events"), "user_id", "ts", "value", HOURLY, "1 hour").select("user_id", "timestamp", "row_count", "target_kw")
 
 
 @query("SELECT user_id, event_type, left(max(ts_text), 19) AS last_ts, arg_max(value, ts_text) AS value FROM (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, value FROM events) GROUP BY 1, 2")
@@ -692,11 +696,11 @@ def key_difference(spark, sf):
     return L.key_difference(n.filter("n_nationkey < 20"), n.filter("n_nationkey >= 5"), ["n_nationkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 200000)")
 def pending_jobs(spark, sf):
     from panelspan.sources import layers
 
-    done = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = V.table(spark, sf, "orders").filter("o_orderstatus = 'P' AND o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return layers.pending(V.table(spark, sf, "customer").select("c_custkey"), done, ["c_custkey"])
 
 

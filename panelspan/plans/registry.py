@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspan.operators import metrics, windows
-from panelspan.plans import catalogue, views
+from panelspan.plans import catalogue, catalogue_sources, views  # noqa: F401 (the second adds its queries to the first's)
 
 SMALLEST = "/root/testdata/sf0.001"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: F401 (queries take Window from here)
 from pyspark.sql import functions as F
 
 from panelspan.functions import timeutil as T
@@ -90,19 +90,25 @@ SUMMARY_SQL = """, summary AS (
   SELECT timestamp, sum(is_observed::INT)::INT AS observed, count(target_kw)::INT AS with_target, max((quality_flags <> '')::INT) AS flagged FROM panel GROUP BY 1
 )"""
 
-WINDOWS_SQL = f""", framed AS (
+
+def windows_sql(history: int = HISTORY, forecast: int = FORECAST) -> str:
+    """The farm windows of summary, as common table expressions."""
+    return f""", framed AS (
   SELECT row_number() OVER (ORDER BY timestamp) - 1 AS i, count(*) OVER () AS n,
     first(timestamp) OVER h AS input_start_ts, last(timestamp) OVER h AS input_end_ts, first(timestamp) OVER f AS output_start_ts, last(timestamp) OVER f AS output_end_ts,
     list(observed) OVER h AS io, list(observed) OVER f AS oo, list(with_target) OVER h AS it, list(with_target) OVER f AS ot,
     min(observed) OVER h AS mio, min(observed) OVER f AS moo, min(with_target) OVER h AS mit, min(with_target) OVER f AS mot, greatest(max(flagged) OVER h, max(flagged) OVER f) AS fl
   FROM summary
-  WINDOW h AS (ORDER BY timestamp ROWS BETWEEN {HISTORY - 1} PRECEDING AND CURRENT ROW), f AS (ORDER BY timestamp ROWS BETWEEN 1 FOLLOWING AND {FORECAST} FOLLOWING)
+  WINDOW h AS (ORDER BY timestamp ROWS BETWEEN {history - 1} PRECEDING AND CURRENT ROW), f AS (ORDER BY timestamp ROWS BETWEEN 1 FOLLOWING AND {forecast} FOLLOWING)
 ), windows AS (
-  SELECT *, i - {HISTORY - 1} AS window_id, mit = 5 AS ci, mot = 5 AS co, mio = 5 AS si, moo = 5 AS so,
+  SELECT *, i - {history - 1} AS window_id, mit = 5 AS ci, mot = 5 AS co, mio = 5 AS si, moo = 5 AS so,
     concat_ws('|', CASE WHEN mit <> 5 THEN 'partial_input' END, CASE WHEN mot <> 5 THEN 'partial_output' END, CASE WHEN fl > 0 THEN 'row_quality_issues' END) AS flags
-  FROM framed WHERE i >= {HISTORY - 1} AND i <= n - {FORECAST} - 1
+  FROM framed WHERE i >= {history - 1} AND i <= n - {forecast} - 1
 )"""
 
+
+WINDOWS_SQL = windows_sql()
+
 ELIGIBLE_SQL = f""", clean AS (
   SELECT *, (is_observed AND target_kw IS NOT NULL AND quality_flags = '')::INT AS ok, row_number() OVER (PARTITION BY turbine_id ORDER BY timestamp) AS rn FROM panel
 ), marked AS (

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Label timestamps are zone-free; UTC keeps conversions exact. AQE splits skewed joins and sizes shuffles.
@@ -20,3 +25,19 @@ def session(app: str = "panelspan", master: str | None = None, **extra: str) ->
     for k, v in (SETTINGS | extra).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; it goes when the driver's JVM ends.
+
+    A machine-local folder is used only in local mode; a cluster that names no shared one is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = os.path.join(tempfile.gettempdir(), "panelspan-shared")
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

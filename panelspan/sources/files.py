@@ -96,14 +96,25 @@ def read_status_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def read_csv_text(spark: SparkSession, paths: str | list[str], nulls: tuple[str, ...] = ("NaN", "nan")) -> DataFrame:
-    """A plain CSV, all columns text, null tokens as null; a file that isn't UTF-8 is read as Latin-1."""
-    df = spark.read.option("header", True).csv(paths)
+def read_csv_text(spark: SparkSession, paths: str | list[str], nulls: tuple[str, ...] = ("NaN", "nan"), columns: list[str] | None = None) -> DataFrame:
+    """A plain CSV, all columns text, null tokens as null; each file that isn't UTF-8 is read as Latin-1.
+
+    columns: those that are wanted; the scan parses no others, and only they are looked at for bad bytes.
+    """
+
+    def scan(where, encoding: str) -> DataFrame:
+        df = spark.read.option("header", True).option("encoding", encoding).csv(where)
+        return df if columns is None else df.select(*[f"`{c}`" for c in df.columns if c.strip() in columns])
+
+    df = scan(paths, "UTF-8")
     bad = F.lit(False)
     for c in df.columns:
-        bad = bad | F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False))
-    if df.columns and df.filter(bad).take(1):
-        df = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(paths)
+        bad = bad | F.coalesce(F.col(f"`{c}`").contains("\ufffd"), F.lit(False))
+    latin = [r[0] for r in df.filter(bad).select(F.input_file_name()).distinct().collect()] if df.columns else []
+    if latin:
+        rest = [f for f in df.inputFiles() if f not in latin]
+        other = scan(latin, "ISO-8859-1")
+        df = scan(rest, "UTF-8").unionByName(other, allowMissingColumns=True) if rest else other
     df = df.toDF(*normalise_headers(df.columns))
     return df.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(*nulls), F.col(f"`{c}`")).alias(c) for c in df.columns])
 

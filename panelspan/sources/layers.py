@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,34 @@ def report(row: dict) -> str:
     return json.dumps(row, sort_keys=True, indent=2, default=str)
 
 
+def publish(spark: SparkSession, text: str, path: str) -> None:
+    """One file (CSV, JSON, text) that is there as a whole or not at all: written under a dotted name, then renamed."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    made = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(made, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(made, target):
+        raise OSError(f"could not publish {path}")
+
+
+def publish_csv(df: DataFrame, path: str) -> None:
+    """A table as one CSV with a header, rows in the frame's order; for reports, since the driver holds it."""
+    import csv
+    import io
+
+    out = io.StringIO()
+    put = csv.writer(out, lineterminator="\n")
+    put.writerow(df.columns)
+    put.writerows(df.collect())
+    publish(df.sparkSession, out.getvalue(), path)
+
+
 def write_report(spark: SparkSession, row: dict, path: str) -> None:
     spark.createDataFrame([(report(row),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
@@ -72,11 +102,53 @@ def status(stored: str | None, current: str, upstream_fresh: bool = True) -> tup
     return ("fresh", "") if stored == current else ("stale", "fingerprint differs")
 
 
-def read_results(spark: SparkSession, paths: list[str], schema: dict[str, str]) -> DataFrame:
-    """CSV results of several runs in canonical columns; columns that older files lack are null."""
+@dataclass(frozen=True)
+class Layer:
+    """A built layer: what it is made from, the outputs that it must have, and the fingerprint it should carry."""
+
+    name: str
+    upstream: tuple[str, ...]
+    expected: str
+    stored: str | None
+    missing_outputs: tuple[str, ...] = ()
+    blocked: str = ""
+
+
+def check_layers(layers: list[Layer]) -> dict[str, tuple[str, str]]:
+    """(status, reason) of each layer of a chain given in build order: fresh, stale, missing or blocked.
+
+    A layer is judged after those it is made from; what stands on a layer that isn't fresh is stale, if built at all.
+    """
+    found: dict[str, tuple[str, str]] = {}
+    for layer in layers:
+        behind = [u for u in layer.upstream if found[u][0] != "fresh"]
+        if layer.blocked:
+            found[layer.name] = ("blocked", layer.blocked)
+        elif layer.stored is None:
+            found[layer.name] = ("missing", "not built")
+        elif layer.missing_outputs:
+            found[layer.name] = ("stale", f"outputs missing: {', '.join(layer.missing_outputs)}")
+        elif behind:
+            found[layer.name] = ("stale", f"not fresh: {', '.join(behind)}")
+        else:
+            found[layer.name] = status(layer.stored, layer.expected)
+    return found
+
+
+def check_layout(paths: list[str], required: dict[str, str]) -> tuple[dict[str, int], list[str]]:
+    """(files found by the name of each required pattern, the names of those without any); patterns are globs on whole paths."""
+    counts = {name: sum(fnmatch.fnmatchcase(p, glob) for p in paths) for name, glob in required.items()}
+    return counts, [name for name, n in counts.items() if not n]
+
+
+def read_results(spark: SparkSession, paths: list[str], schema: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
+    """CSV results or training histories of several runs in canonical columns; columns that older files lack are null, but for the required ones."""
     out = None
     for p in paths:
-        part = aligned(spark.read.option("header", True).csv(p), schema)
+        raw = spark.read.option("header", True).csv(p)
+        if gone := [c for c in required if c not in raw.columns]:
+            raise ValueError(f"{p} lacks {gone}")
+        part = aligned(raw, schema)
         out = part if out is None else out.unionByName(part)
     return out
 

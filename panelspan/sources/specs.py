@@ -1,4 +1,4 @@
-"""Datasets, tasks and feature protocols as plain values."""
+"""Sources, tasks and feature protocols as plain values."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ PITCH_RULE = (-10.0, 95.0)
 
 
 @dataclass(frozen=True)
-class DatasetSpec:
+class SourceSpec:
     dataset_id: str
     entities: tuple[str, ...]
     target: str
@@ -19,7 +19,7 @@ class DatasetSpec:
     columns: dict[str, object] = field(default_factory=dict)
 
 
-# fixed values: registered datasets, their entities, targets and native column names
+# fixed values: registered sources, their entities, targets and native column names
 _BANNER_COLUMNS = {
     "speed": "Wind speed (m/s)",
     "ambient": "Nacelle ambient temperature (°C)",
@@ -30,19 +30,19 @@ _BANNER_COLUMNS = {
     "direction": "Wind direction (°)",
     "nacelle": "Nacelle position (°)",
 }
-DATASETS = {
+SOURCES = {
     d.dataset_id: d
     for d in (
-        DatasetSpec("kelmarsh", tuple(f"Kelmarsh {i}" for i in range(1, 7)), "Power (kW)", "source_utc_naive", columns=_BANNER_COLUMNS),
-        DatasetSpec("penmanshiel", tuple(f"Penmanshiel {i:02d}" for i in range(1, 16) if i != 3), "Power (kW)", "source_utc_naive", columns=_BANNER_COLUMNS),
-        DatasetSpec(
+        SourceSpec("kelmarsh", tuple(f"Kelmarsh {i}" for i in range(1, 7)), "Power (kW)", "source_utc_naive", columns=_BANNER_COLUMNS),
+        SourceSpec("penmanshiel", tuple(f"Penmanshiel {i:02d}" for i in range(1, 16) if i != 3), "Power (kW)", "source_utc_naive", columns=_BANNER_COLUMNS),
+        SourceSpec(
             "hill_of_towie", tuple(f"T{i:02d}" for i in range(1, 22)), "wtc_ActPower_mean", "source_utc_naive_interval_end",
             columns={
                 "speed": "wtc_AcWindSp_mean", "ambient": "tur_temp__wtc_ambietmp_mean", "internal": "tur_temp__wtc_naceltmp_mean", "generator": "wtc_GenRpm_mean",
                 "rotor": "wtc_MainSRpm_mean", "pitch": ("wtc_PitcPosA_mean", "wtc_PitcPosB_mean", "wtc_PitcPosC_mean"), "direction": "wtc_ActualWindDirection_mean", "nacelle": "wtc_YawPos_mean",
             },
         ),
-        DatasetSpec(
+        SourceSpec(
             "sdwpf_kddcup", tuple(str(i) for i in range(1, 135)), "Patv", "derived_day_clock_naive",
             columns={"speed": "Wspd", "ambient": "Etmp", "internal": "Itmp", "pitch": ("Pab1", "Pab2", "Pab3"), "nacelle": "Ndir", "relative": "Wdir"},
         ),
@@ -50,11 +50,11 @@ DATASETS = {
 }
 
 
-def dataset(dataset_id: str) -> DatasetSpec:
+def dataset(dataset_id: str) -> SourceSpec:
     try:
-        return DATASETS[dataset_id]
+        return SOURCES[dataset_id]
     except KeyError:
-        raise ValueError(f"unknown dataset {dataset_id!r}; known: {', '.join(sorted(DATASETS))}") from None
+        raise ValueError(f"unknown dataset {dataset_id!r}; known: {', '.join(sorted(SOURCES))}") from None
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ class TaskSpec:
         return duration_steps(self.history, minutes), duration_steps(self.forecast, minutes), duration_steps(self.stride, minutes) if self.stride else 1
 
 
-#: Value columns of each protocol by role, in order; roles are resolved by protocols.value_columns.
+# fixed values: protocol names, and the value columns of each by role, in order; roles are resolved by protocols.role_columns
 PROTOCOLS = {
     "power_only": (),
     "power_ws_hist": ("speed",),
@@ -87,5 +87,5 @@ PROTOCOLS = {
     "world_model_v1": ("speed", "wd_sin", "wd_cos", "yaw_sin", "yaw_cos", "pitch_mean", "rotor", "generator", "ambient", "internal"),
 }
 MASKED = ("power_wd_yaw_pmean_hist_sincos_masked", "world_model_v1")
-#: Datasets that masked protocols are defined for.
-MASKED_DATASETS = ("kelmarsh", "penmanshiel")
+#: Sources that masked protocols are defined for (fixed values).
+MASKED_SOURCES = ("kelmarsh", "penmanshiel")

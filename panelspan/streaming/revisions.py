@@ -22,6 +22,17 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str, frontier: str) -
     return stream.withWatermark(time, frontier).dropDuplicatesWithinWatermark(keys)
 
 
+def frontier_merge(stream: DataFrame, keys: list[str], time: str, values: list[str], frontier: str) -> DataFrame:
+    """Rows of one key and time merged once the frontier has passed them: a value on which they differ is null.
+
+    (keys, time, values, row_count, conflict_count). Least and greatest values merge in any order, so batch and
+    stream agree; a row later than the frontier is not merged again.
+    """
+    same = lambda v: F.when(F.min(v) == F.max(v), F.min(v)).alias(v)
+    odd = sum((F.coalesce(F.min(v) != F.max(v), F.lit(False)).cast("int") for v in values), F.lit(0)).alias("conflict_count")
+    return stream.withWatermark(time, frontier).groupBy(*keys, time).agg(*[same(v) for v in values], F.count("*").alias("row_count"), odd)
+
+
 def bucket_means(stream: DataFrame, entity: str, time: str, value: str, minutes: int, frontier: str) -> DataFrame:
     """Mean, count per entity and bucket, final once the frontier has passed the bucket."""
     w = F.window(time, f"{minutes} minutes")

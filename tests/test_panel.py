@@ -77,7 +77,7 @@ def test_windows_don_t_depend_on_blocks_and_spans(spark, block):
     assert valid == {(d, v[i]["timestamp"]): n for d, v in per.items() for i in range(len(v)) if (n := sum(x["with_target"] for x in v[i + 1 : i + 5]))}
 
 
-def test_grids_of_several_datasets_keep_to_their_entities(spark):
+def test_grids_of_several_sources_keep_to_their_entities(spark):
     o = spark.createDataFrame([("x", "a1", T0, 1.0), ("x", "a1", T0 + 2 * STEP, 2.0), ("y", "b1", T0 + STEP, 3.0), ("y", "b2", T0 + 2 * STEP, 4.0)], SCHEMA)
     want = [("x", "a1", 0, True), ("x", "a1", 1, False), ("x", "a1", 2, True), ("y", "b1", 1, True), ("y", "b1", 2, False), ("y", "b2", 1, False), ("y", "b2", 2, True)]
     for entities in (None, o.select("dataset", "turbine_id").distinct()):

@@ -68,7 +68,7 @@ def test_policy(spark):
     with pytest.raises(ValueError, match="duplicate"):
         policy.normalise_headers(["a", " a"])
     df = spark.createDataFrame([(-5.0, 2.0, 10.0), (-5.0, 3.0, 90.0), (None, 3.0, None)], "Patv double, Wspd double, p double")
-    got = rows(policy.apply_masks(df, {"Patv": policy.named_rule("nonpositive_power_at_wind", "Patv"), "p": policy.named_rule("pitch_above_89", "p")}))
+    got = rows(policy.apply_masks(df, {"Patv": policy.named_rule("sdwpf_unknown_patv_wspd", "Patv"), "p": policy.named_rule("sdwpf_pitch_gt_89", "p")}))
     assert [(r["Patv"], r["p"]) for r in got] == [(-5.0, 10.0), (None, None), (None, None)]
     assert policy.rule_diagnostics(df, ["p"], 0, 50).first().asDict() == {"rule_rows": 1, "missing_rows": 1, "rows": 3}
 

@@ -8,6 +8,7 @@ from panelspan.sources import files, layers
 from panelspan.streaming import revisions
 from tests.conftest import rows
 
+# fixed values: the header lines of both exports; the rows are made up
 SCADA = """# An export
 #
 # Turbine: Unit 1
