@@ -48,9 +48,10 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _WS, " " * len(_WS)), " "), lambda w: w != "")
 
 
-def _plain(line: Column) -> Column:
-    """A line as it is compared: its words, A-Z lower-cased, joined by one space."""
-    return F.array_join(_words(F.translate(line, _UPPER, _LOWER)), " ")
+def _plain_lines(text: Column) -> Column:
+    """A text's lines as they are compared: their words, A-Z lower-cased, joined by one space; line breaks are as in the text."""
+    blanks = _WS.replace("\n", "")
+    return F.split(F.regexp_replace(F.translate(text, blanks + _UPPER, " " * len(blanks) + _LOWER), " {2,}", " "), "\n")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -93,7 +94,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     """(host, text_key, line_key, n): the normalised lines of each distinct text and their word counts."""
     text = F.coalesce("text", F.lit(""))
     keyed = lambda x: F.struct(F.xxhash64(x).alias("line_key"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("n"))
-    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), _plain), lambda x: x != ""), keyed))
+    lines = F.array_distinct(F.transform(F.filter(F.transform(_plain_lines(text), lambda x: F.trim(x)), lambda x: x != ""), keyed))
     rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_key"), F.explode(lines).alias("l"))
     return rows.select("host", "text_key", "l.line_key", "l.n").distinct()
 
@@ -115,8 +116,14 @@ def without_lines(docs: DataFrame, common: DataFrame) -> DataFrame:
     there, gone, left_ = (unused(docs.columns, n) for n in ("__ch", "__cut", "__left"))
     cuts = common.groupBy(F.col("host").alias(there)).agg(F.collect_set("line_key").alias(gone))
     joined = docs.join(cuts, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(there), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(_plain(x)))), "\n")
-    joined = joined.withColumn(left_, F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    keys = F.transform(_plain_lines(F.col("text")), lambda x: F.xxhash64(F.trim(x)))
+
+    def left(h: Column) -> Column:
+        rest = lambda hit: F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(hit, F.get(h, i))), "\n")
+        # most texts hold none of their host's common lines, and the others one or two of them
+        return _let(F.array_intersect(h, gone), lambda hit: F.when(F.size(hit) == 0, F.col("text")).otherwise(rest(hit)))
+
+    joined = joined.withColumn(left_, F.when(F.col(gone).isNull(), F.col("text")).otherwise(_let(keys, left)))
     put = {"text": F.col(left_)}
     if "n_chars" in docs.columns:
         n = F.length(left_).cast(docs.schema["n_chars"].dataType)
