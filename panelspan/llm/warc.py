@@ -13,7 +13,9 @@ has the payload's length, but no payload.
 
 Defined results: a null html is an empty payload; a null url leaves out the target
 header; rows that repeat the smallest page_id of their payload are all responses; a
-null page_id is never referred to.
+null page_id is never referred to; a payload is one record and one gzip member whatever
+its length, so a task holds one at a time besides the read around it; columns other than
+page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from panelspan.llm.common import cut, fresh_path, ship
 LEAST_SHARED = 100
 #: Bytes between selected records that are read along rather than skipped, and the most in one read.
 GAP, READ = 1 << 16, 8 << 20
-#: Bytes of a file that one task reads.
-STRETCH = 32 << 20
+#: Bytes of a file that go to one task together, and bytes that a task reads in all.
+STRETCH, STRETCH_OF_A_TASK = 1 << 20, 8 << 20
 #: Archives are reproducible, so their date is a parameter.
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 3
@@ -152,8 +154,11 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the index rows given (all, or any selection), parsed from the archives."""
+    # as many tasks as there are stretches to read: by the index's own size, adaptive execution would make one of many
+    n, size = index.agg(F.count("*"), F.sum("length")).first()
     spots = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / STRETCH))
-    dealt = spots.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    tasks = max(1, min(n, -(-(size or 0) // STRETCH_OF_A_TASK)))
+    dealt = spots.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInArrow(lambda it: _read(it, folder), _READ)
 
 
