@@ -10,7 +10,8 @@ that the parameters fix.
 
 Defined results: a null or empty text scores by its (zero) statistics; rows that repeat
 are each scored; a doc_id with several labels counts by its smallest; with labels of
-less than two kinds every score is the labels' mean, or 0.5.
+less than two kinds every score is the labels' mean, or 0.5; equal texts score equally;
+texts of any length pass in bounded chunks; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
 from panelspan.llm.common import broadcast_value, cut, ship
+from panelspan.llm.numeric import combined
 
 FEATURES, BINS, RIDGE, SEED = 256, 512, 1.0, 5
+#: Labels that are broadcast to the texts (about 60 MB); more are joined with the texts' statistics.
+LABELS = 1_000_000
 #: Kernel width against the root of the number of statistics.
 WIDTH = 1.0
 
@@ -175,18 +179,24 @@ def isotonic(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.full(len(count), 0.5) if not len(known) else mean[known[np.clip(np.searchsorted(known, np.arange(len(count)), "right") - 1, 0, None)]]
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, calibration=None):
+def quality_model(docs: DataFrame, labels: DataFrame, calibration=None, most_broadcast: int = LABELS):
     """Fit on docs (doc_id, text) and labels (doc_id, quality): a broadcast (cosines, weights, range, calibrated bins).
 
     calibration: a condition on doc_id for rows that calibrate instead of being fitted.
+    All labelled rows are used, whichever side of the join is sent to the other.
     """
     spark = docs.sparkSession
     ship(spark)
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     fold = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0) if calibration is None else calibration
-    # statistics first, then the join with labels: 200 bytes a document are shuffled, not its text
-    made = docs.select("doc_id", "text").mapInArrow(_kept, f"doc_id {dict(docs.dtypes)['doc_id']}, x binary")
-    rows = cut(made.join(known, "doc_id").select("y", fold.alias("fold"), "x"), "quality-statistics")
+    known, texts = cut(known, "quality-labels"), docs.select("doc_id", "text")
+    kind = dict(docs.dtypes)["doc_id"]
+    if known.count() <= most_broadcast:
+        made = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text").mapInArrow(_kept, f"doc_id {kind}, x binary").join(F.broadcast(known), "doc_id")
+    else:
+        # statistics first, then the join with labels: 200 bytes a document are shuffled, not its text
+        made = texts.mapInArrow(_kept, f"doc_id {kind}, x binary").join(known, "doc_id")
+    rows = cut(made.select("y", fold.alias("fold"), "x"), "quality-statistics")
     fit, rest = rows.filter("NOT fold"), rows.filter("fold")
     moments = combined(fit.mapInArrow(_add_moments, "n long, total binary").select("total", "n"))
     n = fit.count()
@@ -208,22 +218,6 @@ def quality_model(docs: DataFrame, labels: DataFrame, calibration=None):
     return broadcast_value(spark, (cosines, beta, -0.5, 1.5, level))
 
 
-def combined(parts: DataFrame, ways: int = 16) -> np.ndarray | None:
-    """The sum of the partitions' float64 arrays: groups of them are added on the executors first."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for part in batch.column("total").to_pylist():
-                x = np.frombuffer(part, np.float64)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
-
-    got = parts.select("total").repartition(ways).mapInArrow(add, "total binary").collect()
-    return sum(np.frombuffer(r[0], np.float64) for r in got) if got else None
-
-
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     cosines, beta, low, high, level = shared.value
     for batch, x in _each(batches):
