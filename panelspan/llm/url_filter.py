@@ -1,8 +1,10 @@
 """URL filtering: host and path rules, and for the rest a character language-model ratio.
 
-Rules judge what they fit, the longest first. What rules name (host endings, path
-beginnings) is taken out of the text that is modelled, so the models learn what the
-judged URLs are like instead of repeating the rules to all others. URLs that rules allow or block train two
+Rules judge what they fit, the longest first. What rules can name (as many labels at a
+host's end and segments at a path's beginning as the deepest rule has) is taken out of
+the text that is modelled, of every URL alike whether a rule fits it or not, so the
+models learn what the judged URLs are like instead of repeating the rules, or a
+top-level domain that rules happen not to name, to all others. URLs that rules allow or block train two
 smoothed variable-order Markov models over characters (Witten-Bell weights, longest
 context first); the counts cover every such URL but those of the part kept for the
 threshold, and are exact: a gram is its own bytes, packed, and Spark adds up and stores
@@ -15,7 +17,9 @@ largest one that blocks at most FALSE_BLOCKS of the accepted.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and, having nothing to score, is allowed; without rule-judged URLs of both kinds
-all others are allowed; rows that repeat are each judged.
+all others are allowed; rows that repeat are each judged, and count as often in the
+models; a URL of any length is scored whole, in bounded chunks; of other columns only
+those that are kept are looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,14 +71,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def unnamed(host: Column, path: Column, rest: Column, rules=RULES) -> Column:
-    """The part of a URL that no rule names: host and rest without the longest host ending and path beginning of a rule."""
-    left, tail = host, F.lower(F.substr(rest, F.length(host) + 1))
-    for name in sorted({r.partition("/")[0] for r, _ in rules}, key=lambda n: (len(n), n)):
-        left = F.when((host == name) | host.endswith("." + name), F.substr(host, F.lit(1), F.length(host) - len(name))).otherwise(left)
-    begun = tail
-    for part in sorted({"/" + r.partition("/")[2] for r, _ in rules}, key=lambda n: (len(n), n)):
-        begun = F.when(path.startswith(part), F.substr(tail, F.lit(len(part) + 1))).otherwise(begun)
-    return F.concat(left, F.lit("/"), begun)
+    """The part of a URL that rules can't name: its host without as many last labels as the deepest rule's, but for its
+    first, and what follows without as many path segments as the deepest rule's."""
+    labels = max((len(r.partition("/")[0].split(".")) for r, _ in rules), default=0)
+    segments = max((r.partition("/")[2].count("/") for r, _ in rules), default=0)
+    left = F.regexp_replace(host, rf"(?<=[^.])(\.[^.]*){{0,{labels}}}$", "") if labels else host
+    tail = F.lower(F.substr(rest, F.length(host) + 1))
+    return F.concat(left, F.lit("/"), F.regexp_replace(tail, rf"^/([^/?#]*/){{0,{segments}}}", ""))
 
 
 _BYTES = T.U64((1 << 48) - 1)
