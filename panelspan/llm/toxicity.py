@@ -5,14 +5,19 @@ toxic share is the class prior. The risk estimator subtracts the prior's share o
 positives from the unlabelled loss and, where that part turns negative, climbs back out
 instead of descending further. The model is linear over hashed words and word prefixes,
 counted per document against the root of its word count, fitted in numpy; the slots it
-looks at are those whose share of positives stands out from that of unlabelled texts.
+looks at are those whose share of positives stands out from that of all texts, counted
+over every positive and every document, and added up by partition.
 
-It is fitted on a bounded sample (about POSITIVES and UNLABELLED documents, drawn by
-key hash at rates that follow from the counts); the prior is the labelled rows' toxic share. Every text is then scored whole.
+The numpy fit takes a bounded sample of labelled rows: about POSITIVES of those called
+toxic and UNLABELLED of all of them, whose label is then not looked at, drawn by key hash
+at rates that follow from the counts. The prior is the labelled rows' toxic share, which
+is also that of the rows taken as unlabelled. Every text is then scored whole.
 
 Defined results: a null or empty text has no features and scores by the intercept; rows
 that repeat are each scored; a doc_id that several label rows call toxic is one
-positive; without labels the prior is DEFAULT_PRIOR and nothing is learnt.
+positive; slots that stand out equally are taken by number; without labels the prior is
+DEFAULT_PRIOR and nothing is learnt; texts of any length pass in bounded chunks; columns
+of any name pass through.
 """
 
 from __future__ import annotations
@@ -25,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspan.llm import textops as T
-from panelspan.llm.common import broadcast_value, cut, ship
+from panelspan.llm.common import broadcast_value, cut, ship, unused
+from panelspan.llm.numeric import combined
 
 POSITIVES, UNLABELLED = 3000, 6000
+#: Ids of toxic documents that are broadcast (about 40 MB).
+LABELS = 1_000_000
 PREFIXES = (4, 5, 6, 7, 9)
 BITS = 18
 #: Slots that the model looks at.
@@ -46,19 +54,14 @@ def features(w: T.Words, buf: np.ndarray) -> tuple[np.ndarray, int]:
     return slots, len(ends)
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offsets = T.string_buffer(batch.column("text"))
-        for i, j, b, o in T.chunks(buf, offsets):
-            low = T.LOWER[b]
-            start, end = T.word_spans(low, o, T.NON_ALNUM)
-            w = T.Words(start, end, np.zeros(0, T.U64), np.searchsorted(start, o))
-            slots, n = features(w, low)
-            first = (w.first * n).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("positive").slice(i, j - i), pa.ListArray.from_arrays(pa.array(first), pa.array(slots.ravel().view(np.int32)))],
-                names=["positive", "slots"],
-            )
+def _word_slots(batch: pa.RecordBatch) -> Iterator[tuple[int, int, T.Words, np.ndarray]]:
+    """(first row, last + 1, words, slots of each word) of a batch's texts, some at a time."""
+    buf, offsets = T.string_buffer(batch.column("text"))
+    for i, j, b, o in T.chunks(buf, offsets):
+        low = T.LOWER[b]
+        start, end = T.word_spans(low, o, T.NON_ALNUM)
+        w = T.Words(start, end, np.zeros(0, T.U64), np.searchsorted(start, o))
+        yield i, j, w, features(w, low)[0]
 
 
 def _values(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -68,13 +71,9 @@ def _values(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 def _score(batches: Iterator[pa.RecordBatch], shared, keep_text: bool, name: str) -> Iterator[pa.RecordBatch]:
     column, weights, bias = shared.value
     for batch in batches:
-        buf, offsets = T.string_buffer(batch.column("text"))
         score = np.empty(batch.num_rows)
-        for i, j, b, o in T.chunks(buf, offsets):
-            low = T.LOWER[b]
-            start, end = T.word_spans(low, o, T.NON_ALNUM)
-            w = T.Words(start, end, np.zeros(0, T.U64), np.searchsorted(start, o))
-            col = column[features(w, low)[0]]
+        for i, j, w, slots in _word_slots(batch):
+            col = column[slots]
             at, _ = np.nonzero(col)
             cell = w.of_word()[at] * len(weights) + col[col > 0] - 1
             # few words are features; the cells that occur are far fewer than documents times features
@@ -88,15 +87,19 @@ def _score(batches: Iterator[pa.RecordBatch], shared, keep_text: bool, name: str
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a task: the documents of each kind, and how many of them hold each slot."""
-    there, docs = np.zeros((2, 1 << BITS), np.int32), [0, 0]
+    """One row a task: how many documents, and how many positives, hold each slot; the last two places count them all."""
+    there = np.zeros((2, (1 << BITS) + 1))
     for batch in batches:
-        lists, kinds = batch.column("slots"), batch.column("positive").to_numpy(zero_copy_only=False)
-        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-        for i, kind in enumerate(kinds):
-            there[int(kind)][np.unique(values[at[i] : at[i + 1]])] += 1
-            docs[int(kind)] += 1
-    yield pa.RecordBatch.from_arrays([pa.array([docs[0]]), pa.array([docs[1]]), pa.array([there.tobytes()], pa.binary())], names=["n_unl", "n_pos", "there"])
+        positive = batch.column("positive").to_numpy(zero_copy_only=False)
+        for i, j, w, slots in _word_slots(batch):
+            for d in range(j - i):
+                own = np.unique(slots[w.first[d] : w.first[d + 1]])
+                there[0, own] += 1
+                if positive[i + d]:
+                    there[1, own] += 1
+        there[0, -1] += batch.num_rows
+        there[1, -1] += positive.sum()
+    yield pa.RecordBatch.from_arrays([pa.array([there.tobytes()], pa.binary())], names=["total"])
 
 
 def choose_slots(there: np.ndarray, n_unl: int, n_pos: int, most: int = FEATURES, least_z: float = 4.0) -> np.ndarray:
@@ -114,11 +117,11 @@ def _rows(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.
     column = np.zeros(1 << BITS, np.int32)
     column[chosen] = np.arange(1, len(chosen) + 1)
     for batch in batches:
-        lists = batch.column("slots")
-        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-        counts = np.stack([np.bincount(column[values[at[i] : at[i + 1]]], minlength=len(chosen) + 1)[1:] for i in range(len(lists))]) if len(lists) else np.zeros((0, len(chosen)))
-        x = _values(counts, np.diff(at) // (len(PREFIXES) + 1)).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "x"])
+        for i, j, w, slots in _word_slots(batch):
+            counts = np.zeros((j - i, len(chosen) + 1))
+            np.add.at(counts, (np.repeat(w.of_word(), slots.shape[1]), column[slots].ravel()), 1)
+            x = _values(counts[:, 1:], np.diff(w.first)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("positive").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "x"])
 
 
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
@@ -144,27 +147,27 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400
     return theta[:-1], float(theta[-1])
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
+def toxicity_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most_broadcast: int = LABELS):
     """Fit on docs (doc_id, text) and labels (doc_id, toxic): a broadcast (columns, weights, bias)."""
     ship(docs.sparkSession)
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n_known, n_toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
-    n_docs = docs.count()
-    prior = min(0.9, max(1e-4, n_toxic / n_known)) if n_known and n_toxic else DEFAULT_PRIOR
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1_000_000))
-    share = lambda most, n: min(1_000_000, int(1e6 * most / max(1, n)))
-    marked = known.filter("toxic = 1").select("doc_id").filter(draw < share(positives, n_toxic or 0))
-    text = docs.select("doc_id", "text")
-    pos = text.join(marked, "doc_id").select("text", F.lit(True).alias("positive"))
-    unl = text.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(12)), F.lit(1_000_000)) < share(unlabelled, n_docs))).select("text", F.lit(False).alias("positive"))
-    sample = cut(pos.union(unl).mapInArrow(_slots, "positive boolean, slots array<int>"), "toxic-sample").coalesce(8)
-    # the driver gets the sample's slot counts (2 MB a task, 8 tasks) and then the chosen columns alone
-    parts = sample.mapInArrow(_frequencies, "n_unl long, n_pos long, there binary").collect()
-    there = sum((np.frombuffer(p["there"], np.int32).reshape(2, -1) for p in parts), np.zeros((2, 1 << BITS), np.int64))
-    chosen = choose_slots(there, sum(p["n_unl"] for p in parts), sum(p["n_pos"] for p in parts))
-    got = sample.mapInArrow(lambda it: _rows(it, chosen), "positive boolean, x binary").toArrow()
+    known = cut(labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") == 1).alias("toxic")), "toxic-labels")
+    n_known, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
+    prior = min(0.9, max(1e-4, n_toxic / n_known)) if n_toxic else DEFAULT_PRIOR
+    drawn = lambda salt, most, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) < min(1_000_000, int(1e6 * most / max(1, n)))
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    toxic = known.filter("toxic").select("id", F.lit(True).alias("is"))
+    # the count was looked at: few enough ids go to the texts, else the planner decides
+    marked = text.join(F.broadcast(toxic) if n_toxic <= most_broadcast else toxic, "id", "left").select("text", F.coalesce("is", F.lit(False)).alias("positive"))
+    total = combined(marked.mapInArrow(_frequencies, "total binary"), 4) if n_toxic else None
+    there = np.zeros((2, (1 << BITS) + 1)) if total is None else total.reshape(2, -1)
+    chosen = choose_slots(there[:, :-1], int(there[0, -1]), int(there[1, -1]))
+    sample = known.filter("toxic").filter(drawn(11, positives, n_toxic)).select("id", F.lit(True).alias("positive"))
+    sample = sample.union(known.filter(drawn(12, unlabelled, n_known)).select("id", F.lit(False)))
+    # broadcast: about positives + unlabelled ids, by the rates above
+    got = text.join(F.broadcast(sample), "id").select("text", "positive").mapInArrow(lambda it: _rows(it, chosen), "positive boolean, x binary").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, len(chosen))
-    weights, bias = fit_nnpu(x, got.column("positive").to_numpy().astype(bool), prior)
+    order = np.lexsort(x.T[::-1]) if x.size else np.arange(len(x))  # rows come in any order; sums should not depend on it
+    weights, bias = fit_nnpu(x[order], got.column("positive").to_numpy().astype(bool)[order], prior)
     column = np.zeros(1 << BITS, np.int32)
     column[chosen] = np.arange(1, len(chosen) + 1)
     return broadcast_value(docs.sparkSession, (column, weights, bias))
@@ -180,4 +183,5 @@ def toxicity(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), name:
 def acceptable(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """docs without those that score limit or more under a model of docs and labels; columns unchanged."""
     model = toxicity_model(docs, labels)
-    return toxicity(docs, model, tuple(docs.columns), "__toxic").filter(F.col("__toxic") < limit).drop("__toxic")
+    score = unused(docs.columns, "__toxic")
+    return toxicity(docs, model, tuple(docs.columns), score).filter(F.col(score) < limit).drop(score)
