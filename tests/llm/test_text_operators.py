@@ -189,6 +189,15 @@ def test_toxicity_held_out(spark):
     assert kept.columns == d.columns and abs(kept.count() - 500) <= 6
 
 
+def test_models_don_t_depend_on_who_is_broadcast(spark):
+    texts, toxic = toxic_case(240)
+    d = docs(spark, texts + texts[:3])
+    labels = spark.createDataFrame([(i, t, 1 - t) for i, t in enumerate(toxic) if i < 200], "doc_id long, toxic int, quality int")
+    for fit, score in ((X.toxicity_model, lambda m: X.toxicity(d, m)), (C.quality_model, lambda m: C.quality(d, m))):
+        a, b = ({(r["doc_id"], round(r["score"], 6)) for r in score(fit(d, labels, most_broadcast=n)).collect()} for n in (10**6, 0))
+        assert a == b
+
+
 def test_toxicity_edges(spark):
     d = docs(spark, ["", None, "a b", "a b", "z " * 100_000])
     none = spark.createDataFrame([], "doc_id long, toxic int")
