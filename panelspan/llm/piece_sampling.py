@@ -5,8 +5,9 @@ that follow, and runs of over SEGMENT characters are cut there too; no piece cro
 such a cut, so the piece lattice of a text is the product of the small lattices of its
 segments, and a text of any length is sampled a bounded number of segments at a time. Forward filtering gives each lattice node the
 total weight of the paths to it; backward sampling then walks from the end, picking
-each incoming piece with its share of that weight. A chunk's distinct segments
-build their lattices together, and all its segments walk back together, in numpy.
+each incoming piece with its share of that weight. A chunk's new segments build their
+lattices together, and all its segments walk back together, in numpy; lattices of
+earlier chunks are kept up to KEEP nodes, since words repeat.
 
 The uniform numbers come from a hash of the row key, the segment's place in the row and
 the step, so a row's segmentation depends on neither partitions nor batches.
@@ -21,6 +22,7 @@ the kept columns may have any names but the three that are added.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -38,6 +40,8 @@ ALPHA = 1.5
 SEED = 17
 #: Bytes of text whose lattices are built together.
 CHUNK = 1 << 18
+#: Lattice nodes that are kept for later chunks (some 30 MB); beyond them a new set is begun.
+KEEP = 1 << 19
 #: Characters of the longest segment, spaces and others apart.
 SEGMENT = 1024
 _SPACE = "▁"
@@ -102,6 +106,25 @@ class Pieces:
         self.keys, self.key_piece, self.key_weight = key[new], piece[new], weight[new]
 
 
+class Grown:
+    """An array that is appended to in place; its first n entries count."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.empty(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.held):
+            held = np.empty(max(need, len(self.held) * 3 // 2), self.held.dtype)
+            held[: self.n] = self.held[: self.n]
+            self.held = held
+        self.held[self.n : need] = values
+        self.n = need
+
+    def now(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Lattices:
     """Piece lattices of segments, in flat arrays: node n's incoming arcs are those whose cdf lies in (n, n + 1]."""
 
@@ -112,6 +135,13 @@ class Lattices:
         self.arc_ids: list[list[int]] = []
         self.maybe = np.zeros(1 << 21, bool)
         self.maybe[(self.keys >> T.U64(43)).astype(np.int64)] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin a new set of lattices."""
+        self.known: dict[str, int] = {}
+        self.nodes = 0
+        self._cdf, self._prev, self._arc, self._starts, self._ends = (Grown(k) for k in (np.float64, np.int32, np.int32, np.int64, np.int64))
 
     def _byte_arcs(self, codes: np.ndarray) -> np.ndarray:
         """Arcs, beyond the pieces, that spell characters in bytes."""
@@ -123,7 +153,7 @@ class Lattices:
         return np.array([self.char_arcs[int(k)] for k in keys], np.int64)[np.searchsorted(keys, codes)]
 
     def build(self, segments: list[str]) -> None:
-        """The lattices of distinct segments, all at once."""
+        """The lattices of distinct segments, all at once, added to those there are."""
         codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.int32).copy()
         codes[codes == ord(_SPACE)] = _LITERAL
         codes[codes == 0x20] = ord(_SPACE)
@@ -189,15 +219,23 @@ class Lattices:
             run -= np.repeat(np.concatenate([[0.0], run[first[1:] - 1]]), many)
             run[np.append(first[1:], len(who)) - 1] = 1.0
             share[who] = run
-        self.cdf, self.prev, self.arc = node + share, prev, arc
-        self.starts, self.ends = base, base + size
+        self._cdf.add(node + share + self.nodes)
+        self._prev.add(prev + self.nodes)
+        self._arc.add(arc)
+        self._starts.add(base + self.nodes)
+        self._ends.add(base + size + self.nodes)
+        self.nodes += len(codes) + len(segments)
 
     def segments(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(segment number of each occurrence, first occurrence of each text) of the texts' segments, with their lattices built."""
-        known: dict[str, int] = {}
+        if self.nodes > KEEP:
+            self.forget()
+        known = self.known
+        before = len(known)
         at = [known.setdefault(s, len(known)) for f in found for s in f]
-        if known:
-            self.build(list(known))
+        if len(known) > before:
+            self.build(list(itertools.islice(known, before, None)))
+        self.cdf, self.prev, self.arc, self.starts, self.ends = (g.now() for g in (self._cdf, self._prev, self._arc, self._starts, self._ends))
         return np.array(at, np.int64), np.concatenate([[0], np.cumsum([len(f) for f in found])])
 
     def runs(self, text: str, most: int) -> Iterator[list[str]]:
