@@ -351,3 +351,21 @@ def test_stages_remove_what_they_should_and_keep_clean_rows(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == set(range(60))
     assert all(r["lossless"] for r in out)
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_the_pipeline_takes_nulls_repeats_odd_columns_and_empty_tables(spark, tmp_path, rows):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(13)
+    say = lambda k: " ".join(f"w{rng.randrange(3000)}" for _ in range(k))
+    texts = [say(70) for _ in range(rows)]
+    docs_ = [(i, t, None if i % 2 else "s", i, "x") for i, t in enumerate(texts)]
+    if rows:
+        docs_ += [docs_[0], docs_[1], (None, say(70), "s", 1, "x"), (None, None, None, None, None), (7, say(70), "s", 1, "x"), (90, "", "s", 0, "x"), (91, say(40_000), "s", 1, "x")]
+    spark.createDataFrame(docs_, "doc_id long, text string, source string, n_chars long, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None, 1, 1), (3, None, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # repeated rows leave one; a null id, an id with two texts and a long text stay; null and empty texts go by the word count
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == ([(False, i) for i in sorted([*range(rows), 7, 91])] + [(True, 0)] if rows else [])
+    assert all(r["lossless"] for r in out)
