@@ -1,4 +1,12 @@
-"""A training corpus from raw documents: five stages, each written as a table before the next reads it."""
+"""A training corpus from raw documents: five stages, each written as a table before the next reads it.
+
+Defined results: null and empty texts go in the first stage, by its word count; of rows
+that repeat doc_id and text one stays; unlike texts under one doc_id are documents of
+their own; rows without a doc_id are kept by near-dedup; without labels nothing is toxic,
+without benchmark items nothing is contaminated; an empty table gives an empty table;
+texts of any length pass whole; further columns stay, but for ids, n_pieces and lossless,
+which the last stage replaces.
+"""
 
 from __future__ import annotations
 
