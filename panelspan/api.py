@@ -12,8 +12,11 @@ from panelspan.sources import files, layers
 from panelspan.sources.specs import SOURCES, SourceSpec, TaskSpec, dataset
 
 
-#: Static columns that geometry needs.
-STATIC = {"coord_x": "double", "coord_y": "double", "latitude": "double", "longitude": "double", "elevation": "double", "rotor": "double"}
+#: Static columns of an entity, beside its name and index.
+STATIC = {
+    "latitude": "double", "longitude": "double", "coord_x": "double", "coord_y": "double", "coord_kind": "string", "coord_crs": "string",
+    "elevation_m": "double", "rated_power_kw": "double", "hub_height_m": "double", "rotor_diameter_m": "double",
+}
 
 
 def list_sources() -> list[str]:
@@ -50,8 +53,8 @@ PARTS = tuple(f.name for f in fields(Bundle))
 def build_bundle(gold: DataFrame, spec: SourceSpec, task: TaskSpec, protocol: str, static: DataFrame | None = None) -> Bundle:
     """A task's series, calendar, window index with its report, entities in index order, their geometry, and a context row.
 
-    A farm task has windows of all entities together, a turbine task those of each. static: (turbine_id, coord_x,
-    coord_y or latitude, longitude, elevation, rotor); without positions there are no edges.
+    A farm task has windows of all entities together, a turbine task those of each. static: turbine_id and columns of
+    STATIC, where coord_x and coord_y, or latitude and longitude, place it; without positions there are no edges.
     """
     spark = gold.sparkSession
     series = protocols.select_protocol(gold, spec, protocol)
@@ -65,12 +68,15 @@ def build_bundle(gold: DataFrame, spec: SourceSpec, task: TaskSpec, protocol: st
     else:
         raise ValueError(f"unknown task mode {task.mode!r}")
     known = static if static is not None else spark.createDataFrame([], "turbine_id string")
-    entities = protocols.static_table(known, STATIC, list(spec.entities), spark)
+    entities = protocols.static_table(known, STATIC, list(spec.entities), spark).withColumn("dataset", F.lit(spec.dataset_id))
     placed = geometry.with_local_xy(entities).filter("x IS NOT NULL AND y IS NOT NULL")
-    pairwise = geometry.pairwise_geometry(placed)
+    pairwise = protocols.pairwise_table(placed)
     covariates = [c for c in series.columns if c not in protocols.BASE and not c.endswith("__mask")]
-    row = (spec.dataset_id, task.task_id, protocol, history, forecast, stride, spec.resolution_minutes, covariates, [c for c in series.columns if c.endswith("__mask")], list(spec.entities))
-    context = spark.createDataFrame([row], "dataset string, task_id string, protocol string, history_steps int, forecast_steps int, stride_steps int, resolution_minutes int, covariates array<string>, masks array<string>, entities array<string>")
+    masks = [c for c in series.columns if c.endswith("__mask")]
+    row = (spec.dataset_id, task.task_id, protocol, history, forecast, stride, spec.resolution_minutes, covariates, masks, list(spec.entities), protocols.protocol_groups(spec, protocol))
+    context = spark.createDataFrame(
+        [row], "dataset string, task_id string, protocol string, history_steps int, forecast_steps int, stride_steps int, resolution_minutes int, covariates array<string>, masks array<string>, entities array<string>, groups map<string, array<string>>"
+    )
     return Bundle(series, protocols.known_future(series), index, report, entities, pairwise, context)
 
 

@@ -65,3 +65,39 @@ def banner_gold(silver: DataFrame, spec: SourceSpec, entities: DataFrame | None
     )
     known = entities if entities is not None else silver.sparkSession.createDataFrame([(spec.dataset_id, e) for e in spec.entities], "dataset string, turbine_id string")
     return P.fill_grid(base, known, spec.resolution_minutes)
+
+
+def station_silver(rows: DataFrame, stations: DataFrame, spec: SourceSpec, station: str = "StationId") -> DataFrame:
+    """One row a turbine and time of a station source's text rows (files.read_station_tables), its duplicates resolved.
+
+    stations: (station, turbine_id), unique by station; rows of others and those without a time go. The source's
+    columns are read as numbers. A number on which duplicates differ is null; duplicate_count, duplicate_kind,
+    conflict_columns and normalized_columns say what was found.
+    """
+    from panelspan.functions import scalars as M
+    from panelspan.operators import cleaning as C
+
+    order = ["__source_file_idx", "__source_row_nr"]
+    numbers = [c for c in rows.columns if c not in (station, "timestamp", *order)]
+    read = rows.select(F.trim(station).alias(station), "timestamp", *order, *[M.lenient_double(F.col(f"`{c}`")).alias(c) for c in numbers])
+    placed = read.join(stations.select(F.col(station).cast("string").alias(station), "turbine_id"), station).filter("timestamp IS NOT NULL")
+    return C.resolve_duplicates(placed.withColumn("dataset", F.lit(spec.dataset_id)), ["dataset", "turbine_id", "timestamp"], numbers, order)
+
+
+def station_gold(silver: DataFrame, spec: SourceSpec, entities: DataFrame | None = None, site: DataFrame | None = None, local: DataFrame | None = None) -> DataFrame:
+    """The farm panel of a station source: the target, flags of duplicates in conflict, the regular grid, and joined series.
+
+    A conflict in the target is a flag of the row, one in another column a flag of its features. site has columns by
+    (dataset, timestamp), local by (dataset, turbine_id, timestamp): shared series, event and intervention features.
+    """
+    found = ("duplicate_count", "duplicate_kind", "conflict_columns", "normalized_columns")
+    features = [c for c in silver.columns if c not in ("dataset", "turbine_id", "timestamp", spec.target, *found)]
+    odd = F.col("duplicate_kind") == "conflict"
+    target_odd = odd & F.array_contains("conflict_columns", spec.target)
+    feature_odd = odd & (F.size(F.array_remove("conflict_columns", spec.target)) > 0)
+    row_flag = F.coalesce(X.flag_when(target_odd, X.DUPLICATE_RESOLVED), F.lit(""))
+    feature_flag = F.coalesce(X.flag_when(feature_odd, f"{X.SOURCE_CONFLICT}__default"), F.lit(""))
+    base = silver.select("dataset", "turbine_id", "timestamp", F.col(f"`{spec.target}`").alias("target_kw"), row_flag.alias("quality_flags"), feature_flag.alias("feature_quality_flags"), *[f"`{c}`" for c in features])
+    known = entities if entities is not None else silver.sparkSession.createDataFrame([(spec.dataset_id, e) for e in spec.entities], "dataset string, turbine_id string")
+    full = P.fill_grid(base, known, spec.resolution_minutes).withColumn("feature_quality_flags", F.coalesce("feature_quality_flags", F.lit("")))
+    return P.attach_site_series(full, site, local) if site is not None else full

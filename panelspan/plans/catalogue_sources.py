@@ -223,6 +223,39 @@ def banner_gold(spark, sf):
     return gold.groupBy("turbine_id").agg(F.count("*").alias("row_count"), F.count_if("is_observed").alias("observed_count"), F.round(F.sum("target_kw"), 4).alias("power"), conflict.alias("conflict_count"))
 
 
+_STATION_GOLD = """
+WITH k AS (SELECT printf('T%02d', (user_id % 22)::INT) AS turbine_id, time_bucket(INTERVAL '10 minutes', ts) AS timestamp, round(value) AS v, (user_id % 2)::DOUBLE AS speed FROM events WHERE user_id % 22 > 0),
+s AS (SELECT turbine_id, timestamp, count(*) AS n, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS power, CASE WHEN count(DISTINCT speed) = 1 THEN min(speed) END AS speed, count(DISTINCT v) > 1 AS pc, count(DISTINCT speed) > 1 AS sc FROM k GROUP BY 1, 2)"""
+
+
+def _station_silver(spark, sf):
+    stations = spark.range(1, 22).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("StationId"), F.format_string("T%02d", "id").alias("turbine_id"))
+    return D.station_silver(files.read_station_tables(spark, raw.station_exports(spark, sf)), stations, specs.dataset("hill_of_towie"))
+
+
+@query(_STATION_GOLD + f" SELECT turbine_id, {at('timestamp')} AS timestamp, power, speed, n AS duplicate_count, CASE WHEN pc OR sc THEN 'conflict' WHEN n > 1 THEN 'identical' END AS duplicate_kind FROM s")
+def station_silver(spark, sf):
+    return _station_silver(spark, sf).select("turbine_id", "timestamp", F.col("wtc_ActPower_mean").alias("power"), F.col("wtc_AcWindSp_mean").alias("speed"), "duplicate_count", "duplicate_kind")
+
+
+@query(
+    _STATION_GOLD
+    + """, a AS (SELECT unnest(generate_series(min(timestamp), max(timestamp), INTERVAL '10 minutes')) AS timestamp FROM s), e AS (SELECT printf('T%02d', i::INT) AS turbine_id FROM range(1, 22) AS r(i)), f AS (SELECT timestamp, count(*) AS m FROM s GROUP BY 1)
+  SELECT e.turbine_id, count(*) AS row_count, count(s.turbine_id) AS observed_count, round(sum(power), 4) AS power, count(*) FILTER (WHERE pc) AS row_conflicts, count(*) FILTER (WHERE sc) AS feature_conflicts, count(*) FILTER (WHERE m > 1) AS busy, sum(coalesce(m, 0))::BIGINT AS readings
+  FROM e CROSS JOIN a LEFT JOIN s ON s.turbine_id = e.turbine_id AND s.timestamp = a.timestamp LEFT JOIN f ON f.timestamp = a.timestamp GROUP BY 1"""
+)
+def station_gold(spark, sf):
+    """The panel of 21 stations with a joined site series: how many of them have a reading."""
+    silver = _station_silver(spark, sf)
+    site = silver.groupBy("dataset", "timestamp").agg(F.count("*").alias("reading_count"), (F.count("*") > 1).alias("busy"))
+    gold = D.station_gold(silver, specs.dataset("hill_of_towie"), site=site)
+    return gold.groupBy("turbine_id").agg(
+        F.count("*").alias("row_count"), F.count_if("is_observed").alias("observed_count"), F.round(F.sum("target_kw"), 4).alias("power"),
+        F.count_if(D.X.has_token("quality_flags", D.X.DUPLICATE_RESOLVED)).alias("row_conflicts"), F.count_if(F.col("feature_quality_flags") == f"{D.X.SOURCE_CONFLICT}__default").alias("feature_conflicts"),
+        F.count_if("busy").alias("busy"), F.sum("reading_count").alias("readings"),
+    )
+
+
 @query(
     """WITH o AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'x' ELSE 'y' END AS dataset, (user_id % 6)::VARCHAR AS turbine_id, time_bucket(INTERVAL '1 day', ts) AS timestamp, round(avg(value), 6) AS target_kw FROM events GROUP BY 1, 2, 3),
   b AS (SELECT dataset, min(timestamp) AS lo, max(timestamp) AS hi FROM o GROUP BY 1), g AS (SELECT e.dataset, turbine_id, unnest(generate_series(lo, hi, INTERVAL '1 day')) AS timestamp FROM (SELECT DISTINCT dataset, turbine_id FROM o) AS e JOIN b ON b.dataset = e.dataset)
@@ -362,6 +395,27 @@ def feature_protocol(spark, sf):
     return out.select("turbine_id", "timestamp", F.col("wind_direction_sin").alias("wd_sin"), F.col("yaw_error_cos").alias("yaw_cos"), "pitch_mean", F.col("target_kw__mask").alias("target_mask"), F.col("pitch_mean__mask").alias("pitch_mask"), "feature_quality_flags")
 
 
+@query(
+    panel_sql()
+    + """, w AS (SELECT turbine_id, target_kw AS k, floor(target_kw / 10) AS n FROM panel), v AS (SELECT *, CASE WHEN k > 30 THEN k * 3 END AS pmu FROM w)
+SELECT turbine_id, count(*) AS row_count, sum(n)::BIGINT AS events, count(*) FILTER (WHERE k > 50) AS active, round(sum(pmu), 4) AS farm_kw, count(*) FILTER (WHERE pmu IS NULL) AS farm_masked, count(*) FILTER (WHERE k IS NULL) AS event_masked,
+  count(*) FILTER (WHERE pmu IS NULL OR k IS NULL) AS incomplete, 7 + 25 + 26 AS columns FROM v GROUP BY 1"""
+)
+def world_model_protocol(spark, sf):
+    """The protocol that takes local and site-wide observations, each with its mask."""
+    k = F.col("target_kw")
+    spec, groups = specs.dataset("kelmarsh"), specs.groups_of("world_model_v1")
+    native = [c for v in spec.columns.values() for c in ([v] if isinstance(v, str) else v)]
+    wide = V.panel(spark, sf).withColumns({c: F.lit(1.0) for c in native} | {c: F.floor(k / 10) for c in (*groups.local, *groups.site)})
+    wide = wide.withColumns({"evt_any_active": k > 50, "farm_pmu__gms_power_kw": F.when(k > 30, k * 3)})
+    out = O.select_protocol(wide, spec, "world_model_v1")
+    return out.groupBy("turbine_id").agg(
+        F.count("*").alias("row_count"), F.sum("evt_active_count").alias("events"), F.count_if("evt_any_active").alias("active"), F.round(F.sum("farm_pmu__gms_power_kw"), 4).alias("farm_kw"),
+        F.sum("farm_pmu__gms_power_kw__mask").cast("long").alias("farm_masked"), F.sum("farm_evt_active_count__mask").cast("long").alias("event_masked"),
+        F.count_if(F.col("feature_quality_flags") == "missing_past_covariates").alias("incomplete"), F.lit(len(out.columns)).alias("columns"),
+    )
+
+
 @query(
     panel_sql(entity="'Kelmarsh ' || (user_id % 6 + 1)")
     + """, n AS (SELECT count(DISTINCT timestamp) AS t FROM panel) SELECT p.part, CASE p.part WHEN 'series' THEN t * 6 WHEN 'known_future' THEN t WHEN 'window_index' THEN greatest(t - 29, 0) WHEN 'report' THEN (t > 29)::INT WHEN 'static' THEN 6 WHEN 'pairwise' THEN 30 ELSE 1 END::BIGINT AS row_count

@@ -89,3 +89,34 @@ PROTOCOLS = {
 MASKED = ("power_wd_yaw_pmean_hist_sincos_masked", "world_model_v1")
 #: Sources that masked protocols are defined for (fixed values).
 MASKED_SOURCES = ("kelmarsh", "penmanshiel")
+
+# fixed values: the column groups that a protocol has beside its values by role. Names of columns, in order
+_EVENT_SUMMARY = ("evt_any_active", "evt_active_count", "evt_total_overlap_seconds", "evt_stop_active", "evt_warning_active", "evt_informational_active")
+_FARM_METERS = ("farm_pmu__gms_current_a", "farm_pmu__gms_power_kw", "farm_pmu__gms_reactive_power_kvar")
+
+
+@dataclass(frozen=True)
+class Groups:
+    """local and global observations are read from the panel as they are; static and pairwise name columns of the side tables."""
+
+    local: tuple[str, ...] = ()
+    site: tuple[str, ...] = ()
+    known_future: tuple[str, ...] = ()
+    static: tuple[str, ...] = ()
+    pairwise: tuple[str, ...] = ()
+
+
+GROUPS = {
+    "world_model_v1": Groups(
+        local=_EVENT_SUMMARY,
+        site=(*_FARM_METERS, *[f"farm_{c}" for c in _EVENT_SUMMARY]),
+        known_future=("dataset", "timestamp", "calendar_hour_sin", "calendar_hour_cos", "calendar_weekday_sin", "calendar_weekday_cos", "calendar_month_sin", "calendar_month_cos", "calendar_is_weekend"),
+        static=("dataset", "turbine_id", "turbine_index", "latitude", "longitude", "coord_x", "coord_y", "coord_kind", "coord_crs", "elevation_m", "rated_power_kw", "hub_height_m", "rotor_diameter_m"),
+        pairwise=("src_turbine_id", "dst_turbine_id", "src_turbine_index", "dst_turbine_index", "delta_x_m", "delta_y_m", "distance_m", "bearing_deg", "elevation_diff_m", "distance_in_rotor_diameters"),
+    )
+}
+
+
+def groups_of(protocol: str) -> Groups:
+    """A protocol's groups; all but world_model_v1 have the plain time axis and nothing else."""
+    return GROUPS.get(protocol, Groups(known_future=("dataset", "timestamp")))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspan import api
-from panelspan.operators import metrics, panel, windows
+from panelspan.operators import metrics, panel, protocols, windows
 from panelspan.sources.specs import TaskSpec, dataset
 from tests.conftest import rows
 
@@ -166,5 +166,21 @@ def test_bundle_round_trip(spark, tmp_path):
     api.save_bundle(bundle, layout, task, "power_only")
     back = api.load_bundle(spark, layout, task, "power_only")
     assert back.report.first()["fully_synchronous"] == back.window_index.count() == 8
-    assert set(back.known_future.columns) >= {"is_weekend", "time_of_day_sin"}
+    assert set(back.known_future.columns) == {*protocols.groups_of("world_model_v1").known_future}
     assert api.quality_report(gold, spec)["missing_row_count"] == 0
+
+
+def test_a_bundle_has_every_column_that_its_groups_name(spark):
+    spec = dataset("kelmarsh")
+    gold = api.build_gold(obs(spark, [(e, i, i) for e in spec.entities for i in range(3)]).withColumn("dataset", F.lit("kelmarsh")), spec)
+    groups = protocols.groups_of("world_model_v1")
+    native = [c for v in spec.columns.values() for c in ([v] if isinstance(v, str) else v)]
+    wide = gold.withColumns({c: F.lit(1.0) for c in (*native, *groups.local, *groups.site)}).withColumn(groups.site[0], F.lit(None).cast("double"))
+    with pytest.raises(ValueError, match="farm_pmu"):
+        protocols.select_protocol(wide.drop(groups.site[0]), spec, "world_model_v1")
+    bundle = api.build_bundle(wide, spec, TaskSpec("20m", "10m"), "world_model_v1")
+    named = bundle.context.first()["groups"]
+    for part, names in (("series", ["local_values", "local_masks", "global_values", "global_masks", "target_masks"]), ("known_future", ["known_future"]), ("static", ["static"]), ("pairwise", ["pairwise"])):
+        assert {c for n in names for c in named[n]} <= set(getattr(bundle, part).columns), part
+    got = bundle.series.first()
+    assert (got[f"{groups.site[0]}__mask"], got[f"{groups.site[1]}__mask"], got["feature_quality_flags"]) == (1, 0, "missing_past_covariates")
