@@ -114,6 +114,28 @@ class Layer:
     blocked: str = ""
 
 
+def stamp(spark: SparkSession, path: str, value: str) -> None:
+    """A layer's fingerprint, stored beside its table; written last, so that a broken build carries none."""
+    publish(spark, report({"fingerprint": value}), f"{path}.fingerprint.json")
+
+
+def unstamp(spark: SparkSession, path: str) -> None:
+    """Takes a layer's fingerprint away before the layer is built anew."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.fingerprint.json")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False)
+
+
+def stamped(spark: SparkSession, path: str) -> str | None:
+    """The stored fingerprint of a layer, if it was built."""
+    at = f"{path}.fingerprint.json"
+    return read_report(spark, at)["fingerprint"] if exists(spark, at) else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def check_layers(layers: list[Layer]) -> dict[str, tuple[str, str]]:
     """(status, reason) of each layer of a chain given in build order: fresh, stale, missing or blocked.
 
