@@ -224,7 +224,7 @@ def banner_gold(spark, sf):
 
 
 _STATION_GOLD = """
-WITH k AS (SELECT printf('T%02d', (user_id % 22)::INT) AS turbine_id, time_bucket(INTERVAL '10 minutes', ts) AS timestamp, round(value) AS v, (user_id % 2)::DOUBLE AS speed FROM events WHERE user_id % 22 > 0),
+WITH k AS (SELECT printf('T%02d', (user_id % 22)::INT) AS turbine_id, time_bucket(INTERVAL '10 minutes', ts) AS timestamp, round(value) AS v, (event_id % 2)::DOUBLE AS speed FROM events WHERE user_id % 22 > 0),
 s AS (SELECT turbine_id, timestamp, count(*) AS n, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS power, CASE WHEN count(DISTINCT speed) = 1 THEN min(speed) END AS speed, count(DISTINCT v) > 1 AS pc, count(DISTINCT speed) > 1 AS sc FROM k GROUP BY 1, 2)"""
 
 

@@ -56,7 +56,7 @@ def station_exports(spark: SparkSession, sf_dir: str) -> list[str]:
     """events as station tables, one a type: 21 stations in ten-minute steps, where several readings of a step are duplicates."""
     e = table(spark, sf_dir, "events")
     step = F.date_format(F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 600) * 600), "yyyy-MM-dd HH:mm:ss")
-    rows = e.select("event_type", F.concat(F.lit("S"), (F.col("user_id") % 22).cast("string")).alias("StationId"), step.alias("TimeStamp"), F.round("value").cast("string").alias("wtc_ActPower_mean"), (F.col("user_id") % 2).cast("string").alias("wtc_AcWindSp_mean"))
+    rows = e.select("event_type", F.concat(F.lit("S"), (F.col("user_id") % 22).cast("string")).alias("StationId"), step.alias("TimeStamp"), F.round("value").cast("string").alias("wtc_ActPower_mean"), (F.col("event_id") % 2).cast("string").alias("wtc_AcWindSp_mean"))
     return [csv_files(rows.filter(F.col("event_type") == t).drop("event_type"), f"station-{t}") for t in ("click", "error", "purchase", "signup", "view")]
 
 
