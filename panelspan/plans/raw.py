@@ -11,9 +11,13 @@ from panelspan.sources.files import STATUS_COLUMNS
 
 
 def text_files(lines: DataFrame, label: str) -> str:
-    """Lines (file, line_no, line) as one text file each; the path pattern that finds them."""
+    """Lines (file, line_no, line) as one text file each; the path pattern that finds them.
+
+    Under its new name no earlier deal counts as one by file: a union of parts that were each dealt by file would pass
+    for one, without a shuffle of its own, and the parts of a file end in several when their partitions are coalesced apart.
+    """
     path = scratch_path(lines.sparkSession, label)
-    lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line").write.partitionBy("file").text(path)
+    lines.withColumn("file", F.coalesce("file", F.lit(""))).repartition("file").sortWithinPartitions("file", "line_no").select("file", "line").write.partitionBy("file").text(path)
     return f"{path}/*/*.txt"
 
 

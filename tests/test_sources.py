@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from panelspan.plans import raw
 from panelspan.sources import files, layers
 from panelspan.streaming import revisions
 from tests.conftest import rows
@@ -99,3 +100,20 @@ def test_streams_equal_batches(spark, sf):
     assert got and all(want[k] == v for k, v in got.items())
     drain(revisions.deduplicated(stream, ["event_id"], "ts", "1 hour"), "once", "append")
     assert spark.table("once").count() == batch.select("event_id").distinct().count()
+
+
+def test_status_logs_are_one_file_an_asset(spark, tmp_path):
+    """Partitions that stay apart: banner and body, which were dealt before they met, must be dealt together."""
+    events = spark.range(500).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).cast("timestamp_ntz").alias("ts"), F.when(F.col("id") >= 0, F.col("id") % 20).alias("user_id"), F.lit("view").alias("event_type"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    small = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = files.read_status_logs(spark, raw.status_logs(spark, str(tmp_path))).select("source_file", "asset_id", "Code").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r["source_file"] for r in got}) == 5
+    assert {(r["asset_id"], int(r["Code"])) for r in got} == {(f"Unit {i % 5}", i) for i in range(500)}
