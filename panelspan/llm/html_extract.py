@@ -3,17 +3,18 @@
 A tokenizer turns each page into text blocks with what is known of their place: inside
 an article, inside something that markup names as furniture (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), or neither. The blocks of a host's pages
-are one token stream, sorted as a suffix array to the depth REPEAT tokens; a token is
-covered if a run of REPEAT tokens through it occurs on enough distinct pages of the host.
+are token streams, sorted as suffix arrays to the depth REPEAT tokens; a token is covered
+if a run of REPEAT tokens through it occurs on enough distinct pages of the host.
 
 A page with an article keeps the article's blocks that markup doesn't name as furniture.
 In a page without one, covered blocks go and the rest are the main text. Inside an
 article coverage decides only where markup leaves doubt: blocks whose text is mostly
 links. Repetition alone removes nothing from an article, because articles quote.
 
-A host's pages are dealt over shards of about SHARD_PAGES and SHARD_BYTES by page hash,
-each its own suffix array with its threshold in proportion, so a host of any size is many
-groups of bounded size.
+A host's distinct pages are dealt over shards, each a suffix array that gives every run's
+number of pages there. Those numbers add up over the host's shards, run by run, and the
+threshold is held against the sum, so how many shards there are changes no result. Only
+hosts that have blocks in doubt are sorted, and only the runs of such blocks are added up.
 
 Defined results: a null or empty html gives an empty text; a null url is the host '';
 unclosed tags end with what contains them, and a tag or quote that never closes takes
@@ -24,6 +25,7 @@ blocks do; columns other than page_id, url and html are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -39,9 +41,8 @@ from panelspan.llm.url_filter import host_of
 
 REPEAT = 6
 MIN_PAGES, PAGE_SHARE = 3, 0.01
+#: Distinct pages and bytes of text that one suffix array takes, about.
 SHARD_PAGES, SHARD_BYTES = 1000, 16 << 20
-#: Html that one task takes.
-TASK_BYTES = 8 << 20
 #: Share of a block's tokens that must be covered for it to count as repeated.
 COVERED = 0.8
 
@@ -221,46 +222,74 @@ def suffix_ranks(tokens: np.ndarray, depth: int = REPEAT) -> np.ndarray:
     return rank
 
 
-def covered_share(pages: list[list[str]], least: int, depth: int = REPEAT) -> list[np.ndarray]:
-    """For each page's blocks, the share of tokens inside runs of depth tokens found on at least `least` distinct pages.
+def token_stream(pages: list[list[str]], depth: int = REPEAT) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, tokens, page, block, starts): token t is words[t - 1], 0 an end mark; starts are the places where a run of depth tokens lies in one block.
 
-    Blocks shorter than depth are taken as one run with an end mark, so they repeat as wholes.
+    Blocks shorter than depth are taken as one run with end marks, so they repeat as wholes.
     """
     number: dict[str, int] = {}
     tokens: list[int] = []
     page_of, block_of, ends = [], [], []
-    n_blocks = 0
     for p, texts in enumerate(pages):
         for text in texts:
-            words = [number.setdefault(w, len(number) + 1) for w in text.split(" ")]
-            pad = max(0, depth - len(words))
-            tokens += words + [0] * pad
-            page_of += [p] * (len(words) + pad)
-            block_of += [n_blocks] * (len(words) + pad)
+            found = [number.setdefault(w, len(number) + 1) for w in text.split(" ")]
+            found += [0] * (depth - len(found))
+            tokens += found
+            page_of += [p] * len(found)
+            block_of += [len(ends)] * len(found)
             ends.append(len(tokens))
-            n_blocks += 1
-    if not tokens:
-        return [np.zeros(0) for _ in pages]
-    page, block, end = np.array(page_of), np.array(block_of), np.array(ends)
-    place = np.arange(len(page))
-    rank = suffix_ranks(np.array(tokens), depth)
-    inside = place + depth <= end[block]
+    page, block = np.array(page_of, np.int64), np.array(block_of, np.int64)
+    starts = np.flatnonzero(np.arange(len(page)) + depth <= np.array(ends, np.int64)[block])
+    return list(number), np.array(tokens, np.int64), page, block, starts
+
+
+def run_pages(tokens: np.ndarray, page: np.ndarray, starts: np.ndarray, depth: int = REPEAT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, run, pages): the starts as the suffix array has them, the run of each, and on how many pages each run is."""
+    rank = suffix_ranks(tokens, depth)
     order = np.lexsort((page, rank))
+    inside = np.zeros(len(tokens), bool)
+    inside[starts] = True
     order = order[inside[order]]
     r, p = rank[order], page[order]
     new_run = np.concatenate([[True], r[1:] != r[:-1]])
     new_page = new_run | np.concatenate([[True], p[1:] != p[:-1]])
     run = np.cumsum(new_run) - 1
-    many = np.bincount(run, new_page)[run] >= least
-    cover = np.zeros(len(page) + 1, np.int64)
-    np.add.at(cover, order[many], 1)
-    np.add.at(cover, order[many] + depth, -1)
-    hit = np.cumsum(cover[:-1]) > 0
-    share = np.bincount(block, hit, n_blocks) / np.bincount(block, minlength=n_blocks)
+    return order, run, np.bincount(run, new_page).astype(np.int64)
+
+
+def block_shares(block: np.ndarray, hits: np.ndarray, depth: int = REPEAT) -> np.ndarray:
+    """For each block the share of its tokens inside runs that begin at hits."""
+    cover = np.zeros(len(block) + 1, np.int64)
+    np.add.at(cover, hits, 1)
+    np.add.at(cover, hits + depth, -1)
+    return np.bincount(block, np.cumsum(cover[:-1]) > 0) / np.bincount(block)
+
+
+def covered_share(pages: list[list[str]], least: int, depth: int = REPEAT) -> list[np.ndarray]:
+    """For each page's blocks, the share of tokens inside runs of depth tokens found on at least `least` distinct pages."""
+    _, tokens, page, block, starts = token_stream(pages, depth)
+    if not len(tokens):
+        return [np.zeros(0) for _ in pages]
+    order, run, n = run_pages(tokens, page, starts, depth)
+    share = block_shares(block, order[n[run] >= least], depth)
     bounds = np.cumsum([0, *map(len, pages)])
     return [share[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+#: Odd factors of a run's places, for two sums modulo 2 ** 64.
+_FACTORS = np.array([[pow(k, i + 1, 1 << 64) for i in range(REPEAT)] for k in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)], np.uint64)
+
+
+def run_keys(words: list[str], tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """128 bits for each run of REPEAT tokens, the same on any machine: (2, starts) of int64."""
+    digests = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in words)
+    lanes = np.concatenate([np.zeros((1, 2), np.uint64), np.frombuffer(digests, "<u8").reshape(-1, 2)])
+    out = np.zeros((2, len(starts)), np.uint64)
+    for i in range(REPEAT):
+        out += lanes[tokens[starts + i]].T * _FACTORS[:, i : i + 1]
+    return out.view(np.int64)
+
+
 def main_text(texts: list[str], places: list[int], share: np.ndarray) -> str:
     has_article = any(p & 3 == 2 for p in places)
     kept = []
@@ -274,23 +303,58 @@ def main_text(texts: list[str], places: list[int], share: np.ndarray) -> str:
     return "\n\n".join(kept)
 
 
-def _extract_group(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+def in_doubt(places: list[int]) -> list[bool]:
+    """Which blocks coverage decides: all that main_text may keep where no article is marked, else an article's that are mostly links."""
+    has_article = any(p & 3 == 2 for p in places)
+    return [p & 3 == 2 and p >= 4 if has_article else p & 3 == 1 for p in places]
+
+
+_PARSED = "url string, host string, page binary, texts array<string>, places array<int>, bytes long, doubt boolean"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of each page; page tells those with other blocks apart."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 500):
+            batch = whole.slice(i, 500)
+            parsed = [blocks(h or "") for h in batch.column("html").to_pylist()]
+            texts, places = [t for t, _ in parsed], [p for _, p in parsed]
+            joined = ["\n".join(t).encode("utf-8", "surrogatepass") for t in texts]
+            keys = [hashlib.blake2b(j, digest_size=16).digest() for j in joined]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(keys, pa.binary()), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())),
+                 pa.array([len(j) for j in joined], pa.int64()), pa.array([any(in_doubt(p)) for p in places], pa.bool_())],
+                names=["page_id", "url", "host", "page", "texts", "places", "bytes", "doubt"],
+            )
+
+
+def _keys(texts: list[str], asked: list[bool]) -> np.ndarray:
+    words, tokens, _, block, starts = token_stream([texts])
+    return run_keys(words, tokens, starts[np.array(asked, bool)[block[starts]]])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, k1, k2): the distinct runs of a page's blocks in doubt."""
+    for batch in batches:
+        for host, page, texts, places in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "texts", "places")), strict=True):
+            k = np.unique(_keys(texts, in_doubt(places)), axis=1)
+            n = k.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([page] * n, pa.binary()), pa.array(k[0]), pa.array(k[1])], names=["host", "page", "k1", "k2"])
+
+
+def _count_group(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
     table = pa.Table.from_batches(rows)
-    parsed = [blocks(h or "") for h in table.column("html").to_pylist()]
-    distinct: dict[tuple, int] = {}
-    for texts, _ in parsed:
-        distinct.setdefault(tuple(texts), len(distinct))
-    least = max(MIN_PAGES, int(np.ceil(PAGE_SHARE * len(distinct))))
-    share = covered_share([list(t) for t in distinct], least)
-    out = [main_text(texts, places, share[distinct[tuple(texts)]]) for texts, places in parsed]
-    return pa.RecordBatch.from_arrays(
-        [table.column("page_id").combine_chunks(), table.column("url").combine_chunks(), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
-        names=["page_id", "url", "text", "n_chars"],
-    )
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of consecutive rows of one (host, shard)."""
+    words, tokens, page, _, starts = token_stream(table.column("texts").to_pylist())
+    if not len(tokens):
+        k, n = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+    else:
+        order, run, n = run_pages(tokens, page, starts)
+        k = run_keys(words, tokens, order[np.flatnonzero(np.diff(run, prepend=-1))])
+    return pa.RecordBatch.from_arrays([pa.array([table.column("host")[0].as_py()] * len(n), pa.string()), pa.array(k[0]), pa.array(k[1]), pa.array(n)], names=["host", "k1", "k2", "pages"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, k1, k2, pages) of each run, for groups of consecutive rows of one (host, shard)."""
     held: list[pa.RecordBatch] = []
     key = None
     for batch in batches:
@@ -301,25 +365,51 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while j < len(keys) and keys[j] == keys[i]:
                 j += 1
             if held and keys[i] != key:
-                yield _extract_group(held)
+                yield _count_group(held)
                 held = []
             key = keys[i]
             held.append(batch.slice(i, j - i))
             i = j
     if held:
-        yield _extract_group(held)
+        yield _count_group(held)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The main texts of pages, with the runs (k1, k2) that are on enough pages of their host."""
+    for batch in batches:
+        out = []
+        for texts, places, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("texts", "places", "k1", "k2")), strict=True):
+            share = np.zeros(len(texts))
+            if k1:
+                words, tokens, _, block, starts = token_stream([texts])
+                often = set(zip(k1, k2, strict=True))
+                hit = [k in often for k in zip(*run_keys(words, tokens, starts).tolist(), strict=True)]
+                share = block_shares(block, starts[np.array(hit, bool)])
+            out.append(main_text(texts, places, share))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
     ship(pages.sparkSession)
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    # stored, so that the planner knows its size: a small one is broadcast and the html moves once, to its shard
-    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
-    shards = base.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / shard_pages), F.ceil(F.sum(size) / SHARD_BYTES), F.lit(1)).cast("int").alias("n_shards"), F.sum(size).alias("bytes"))
-    shards = cut(shards.withColumnRenamed("host", "shard_host"), "page-shards")
-    tasks = max(1, -(-(shards.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
-    dealt = base.join(shards, F.col("host") == F.col("shard_host")).withColumn("shard", F.pmod(F.xxhash64("url", "page_id"), F.col("n_shards")).cast("int"))
-    dealt = dealt.select("page_id", "url", "html", "host", "shard").repartition(tasks, "host", "shard").sortWithinPartitions("host", "shard")
     kind = dict(base.dtypes)["page_id"]
-    return dealt.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    # stored: pages are parsed once, and most are read again only to be put together
+    parsed = cut(base.mapInArrow(_parse, f"page_id {kind}, {_PARSED}"), "page-blocks")
+    # one row for each of a host's distinct pages, by what is known of it without its texts
+    distinct = parsed.groupBy("host", "page").agg(F.max("bytes").alias("bytes"), F.max("doubt").alias("doubt"))
+    hosts = distinct.groupBy("host").agg(F.count("*").alias("n_pages"), F.sum("bytes").alias("n_bytes"), F.max("doubt").alias("doubt")).filter("doubt")
+    # stored, so that the planner knows its size
+    hosts = cut(hosts.select("host", F.ceil(F.greatest(F.col("n_pages") / shard_pages, F.col("n_bytes") / SHARD_BYTES, F.lit(1))).cast("int").alias("n_shards"), F.greatest(F.lit(MIN_PAGES), F.ceil(F.lit(PAGE_SHARE) * F.col("n_pages"))).alias("least")), "page-hosts")
+    asked = parsed.filter("doubt").select("host", "page", "texts", "places").mapInArrow(_asked, "host string, page binary, k1 long, k2 long").distinct()
+    dealt = parsed.join(hosts, "host").select("host", "page", "texts", F.pmod(F.xxhash64("page"), F.col("n_shards")).cast("int").alias("shard"))
+    # equal pages meet in a shard, where the first stands for them
+    dealt = dealt.repartition("host", "shard").dropDuplicates(["host", "shard", "page"]).sortWithinPartitions("host", "shard")
+    counts = dealt.select("host", "shard", "texts").mapInArrow(_count, "host string, k1 long, k2 long, pages long")
+    counts = counts.join(asked.select("host", "k1", "k2").distinct(), ["host", "k1", "k2"], "left_semi").groupBy("host", "k1", "k2").agg(F.sum("pages").alias("pages"))
+    often = counts.join(hosts, "host").filter(F.col("pages") >= F.col("least")).select("host", "k1", "k2")
+    found = asked.join(often, ["host", "k1", "k2"]).groupBy("host", "page").agg(F.collect_list("k1").alias("k1"), F.collect_list("k2").alias("k2"))
+    none = F.array().cast("array<bigint>")
+    clear = parsed.filter("NOT doubt").select("page_id", "url", "texts", "places", none.alias("k1"), none.alias("k2"))
+    doubtful = parsed.filter("doubt").join(found, ["host", "page"], "left").select("page_id", "url", "texts", "places", "k1", "k2")
+    return clear.unionByName(doubtful).mapInArrow(_assemble, f"page_id {kind}, url string, text string, n_chars long")

@@ -231,3 +231,18 @@ def test_selected_records_only(spark, tmp_path):
 def test_ranges_coalesce():
     assert W.ranges([0, 10, 100, 1000], [10, 5, 10, 10], gap=90, most=120) == [(0, 3, 0, 110), (3, 4, 1000, 1010)]
     assert W.ranges([0, 10], [10, 500], gap=5, most=100) == [(0, 1, 0, 10), (1, 2, 10, 510)]
+
+
+def test_shards_change_no_text(spark):
+    """A notice on 5 of 300 pages (3 suffice) and one on 2, in one suffix array and in many; equal pages count once."""
+    rows = []
+    for i in range(300):
+        own = f"<div>Body n{i} tells of thing n{i} at length and depth</div>"
+        rare = "<div>This notice stands on very few of our many pages</div>" if i % 60 == 0 else "<div>Another notice that only two of our pages ever had</div>" if i in (7, 8) else ""
+        rows.append((i, f"http://h/{i}", own + rare))
+    rows += [(1000 + i, f"http://h/{i}", "<div>Another notice that only two of our pages ever had</div>") for i in range(20)]
+    texts = [{r["page_id"]: r["text"] for r in E.extract(pages(spark, rows), n).collect()} for n in (10, 100_000)]
+    assert texts[0] == texts[1] and len(texts[0]) == 320
+    assert not any("This notice" in t for t in texts[0].values())
+    # two pages and the twenty equal ones, which are one: on three pages, of 301; 3.01 are asked for
+    assert sum("Another notice" in t for t in texts[0].values()) == 22
